@@ -6,17 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe
+from tessera.llm import audio, bpe, url_lm
 from tessera.llm.common import table
 
 
+def op1_url_char_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lm.url_filter(table(spark, sf_dir, "pages"))
+
+
+def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = audio.store(table(spark, sf_dir, "documents"))
+    return audio.digest(audio.features(stored, keep=["n_bytes", "media"]))
+
+
 def op5_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_bpe_encoding": op5_bpe_encoding}
+    return {
+        "op1_url_char_lm": op1_url_char_lm,
+        "op2_audio_features": op2_audio_features,
+        "op5_bpe_encoding": op5_bpe_encoding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_char_lm": url_lm.oracle()}
