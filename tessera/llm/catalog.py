@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import audio, bpe, url_lm
+from tessera.llm import audio, bpe, lineblock, url_lm
 from tessera.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digest(audio.features(stored, keep=["n_bytes", "media"]))
 
 
+def op4_line_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineblock.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_char_lm": op1_url_char_lm,
         "op2_audio_features": op2_audio_features,
+        "op4_line_block": op4_line_block,
         "op5_bpe_encoding": op5_bpe_encoding,
     }
 
