@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import audio, bpe, lineblock, url_lm
+from tessera.llm import audio, bpe, kdshard, lineblock, url_lm
 from tessera.llm.common import table
 
 
@@ -27,12 +28,18 @@ def op5_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = kdshard.shard(table(spark, sf_dir, "documents"), shards=40)
+    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_char_lm": op1_url_char_lm,
         "op2_audio_features": op2_audio_features,
         "op4_line_block": op4_line_block,
         "op5_bpe_encoding": op5_bpe_encoding,
+        "op6_kd_sharding": op6_kd_sharding,
     }
 
 
