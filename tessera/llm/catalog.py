@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import audio, bpe, kdshard, lineblock, url_lm
+from tessera.llm import audio, bpe, crf_langid, kdshard, lineblock, url_lm
 from tessera.llm.common import table
 
 
@@ -33,6 +33,13 @@ def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op9_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crf_langid.fold(docs, 5) == 0
+    model = crf_langid.fit(docs.filter(~held_out))
+    return crf_langid.predict(docs, model).withColumn("held_out", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)), F.lit(0)) == 0).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_char_lm": op1_url_char_lm,
@@ -40,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_block": op4_line_block,
         "op5_bpe_encoding": op5_bpe_encoding,
         "op6_kd_sharding": op6_kd_sharding,
+        "op9_crf_language_id": op9_crf_language_id,
     }
 
 
