@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import audio, bpe, crf_langid, kdshard, lineblock, url_lm
+from tessera.llm import audio, bpe, crf_langid, decontaminate, kdshard, lineblock, url_lm
 from tessera.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crf_langid.fold(docs, 5) == 0
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_block": op4_line_block,
         "op5_bpe_encoding": op5_bpe_encoding,
         "op6_kd_sharding": op6_kd_sharding,
+        "op7_decontamination": op7_decontamination,
         "op9_crf_language_id": op9_crf_language_id,
     }
 

@@ -23,6 +23,8 @@ _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Breaks words at every ASCII character that is no letter or digit.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,11 +105,11 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words_of(texts: pa.Array) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+def words_of(texts: pa.Array, breaks: np.ndarray = _SPACE) -> tuple[pa.LargeBinaryArray, np.ndarray]:
     """Lower-cased (A-Z only) words ``[^\\x20\\x09-\\x0D]+`` of all texts in order,
-    and the n+1 offsets of each text's words."""
+    and the n+1 offsets of each text's words.  ``breaks``: the bytes that separate words, if not white space."""
     raw, offsets = text_bytes(texts)
-    space = _SPACE[raw]
+    space = breaks[raw]
     starts = ~space
     after = np.empty(len(raw), bool)
     after[:1] = True
