@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import audio, bpe, crf_langid, decontaminate, kdshard, lineblock, url_lm
+from tessera.llm import audio, bpe, crf_langid, decontaminate, kdshard, lineblock, pst, url_lm
 from tessera.llm.common import table
 
 
@@ -20,6 +20,13 @@ def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digest(audio.features(stored, keep=["n_bytes", "media"]))
 
 
+def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tree, counts = pst.fit(docs.filter(crf_langid.fold(docs, 7) != 2))
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)), F.lit(0)) == 2
+    return pst.score(docs, tree, counts).withColumn("held_out", held_out)
+
+
 def op4_line_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineblock.extract(table(spark, sf_dir, "pages"))
 
@@ -48,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_char_lm": op1_url_char_lm,
         "op2_audio_features": op2_audio_features,
+        "op3_suffix_tree": op3_suffix_tree,
         "op4_line_block": op4_line_block,
         "op5_bpe_encoding": op5_bpe_encoding,
         "op6_kd_sharding": op6_kd_sharding,

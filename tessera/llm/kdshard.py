@@ -65,10 +65,14 @@ def _split_level(items: DataFrame, root: Node, todo: list[Node], widths: dict[st
     while open_ := {k: s for k, s in state.items() if "cut" not in s}:
         for s in open_.values():
             s["width"] = (s["hi"] - s["lo"]) // BINS + 1
-        # one row for each node of the level, fewer than the shards: small whatever the input
-        asked = items.sparkSession.createDataFrame([(k, s["d"], s["lo"], s["width"]) for k, s in open_.items()], "node int, dimension string, low long, width long")
+        if len(open_) == 1:
+            (k, s), = open_.items()
+            rows = placed.filter(F.col("node") == k).withColumns({"dimension": F.lit(s["d"]), "low": F.lit(s["lo"]).cast("long"), "width": F.lit(s["width"]).cast("long")})
+        else:  # one row for each node of the level, fewer than the shards: small whatever the input
+            asked = items.sparkSession.createDataFrame([(k, s["d"], s["lo"], s["width"]) for k, s in open_.items()], "node int, dimension string, low long, width long")
+            rows = placed.join(F.broadcast(asked), "node")
         key = F.coalesce(*[F.when(F.col("dimension") == d, F.col(d)) for d in DIMENSIONS])
-        rows = placed.join(F.broadcast(asked), "node").withColumn("key", key).filter("key >= low").withColumn("bin", F.expr("(key - low) div width")).filter(F.col("bin") < BINS)
+        rows = rows.withColumn("key", key).filter("key >= low").withColumn("bin", F.expr("(key - low) div width")).filter(F.col("bin") < BINS)
         sums: dict[int, dict[int, int]] = {}
         for r in rows.groupBy("node", "bin").agg(F.sum("bytes").alias("bytes")).collect():
             sums.setdefault(r["node"], {})[r["bin"]] = r["bytes"]
