@@ -98,7 +98,8 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = texts.combine_chunks()
     if texts.null_count:
         texts = pc.fill_null(texts, "")
-    texts = texts.cast(pa.large_string())
+    if not pa.types.is_large_binary(texts.type):
+        texts = texts.cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
     data = texts.buffers()[2]
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)

@@ -13,39 +13,62 @@ their own and the weights averaged.  Prediction is one narrow pass over all whol
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import coded, steps, words_of
+from tessera.llm.common import coded, hashed, mixed, steps, text_bytes, words_of
 
 BUCKETS = 1 << 15
 PARTS = 4
-REMEMBERED = 200_000  # words whose scores a worker remembers; only speed depends on it
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 STEP = 6 << 20
 
 
-def features_of(word: str) -> list[int]:
-    """Hashed affix and n-gram features of a word; one feature of its own if it has no letter."""
-    word = word.lower()
-    if not any(map(str.isalpha, word)):
-        return [zlib.crc32(b"none") % BUCKETS]
-    w = f"^{word}$"
-    found = {"w" + word}
-    for n in (1, 2, 3):
-        found |= {f"p{word[:n]}", f"s{word[-n:]}"}
-    if len(w) > 48:  # of a very long word both ends tell enough
-        w = w[:24] + w[-24:]
-    for n in (2, 3):
-        found.update(w[i : i + n] for i in range(len(w) - n + 1))
-    return sorted({zlib.crc32(f.encode()) % BUCKETS for f in found})
+def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of each word's UTF-8 bytes, and the n+1 offsets of the words' features.
+
+    The word itself, its two- and three-byte n-grams with both word ends (so affixes of
+    one and two bytes), and its first and last three bytes.
+    """
+    raw, offsets = text_bytes(words)
+    n, lengths = len(words), np.diff(offsets)
+    padded = np.full(len(raw) + 2 * n, 1, np.uint64)  # byte 1 before, byte 2 after each word
+    begins = offsets[:-1] + 2 * np.arange(n)
+    inner = np.ones(len(padded), bool)
+    inner[begins] = inner[begins + lengths + 1] = False
+    padded[inner] = raw
+    padded[begins + lengths + 1] = 2
+    owner = np.repeat(np.arange(n), lengths + 2)
+    two = padded[:-1] * np.uint64(256) + padded[1:]
+    ok2 = owner[:-1] == owner[1:]
+    three = two[:-1] * np.uint64(256) + padded[2:]
+    ok3 = owner[:-2] == owner[2:]
+    long = np.flatnonzero(lengths >= 3)
+    four = lambda at: two[at] * np.uint64(65536) + two[at + 2]
+    keys = np.concatenate([hashed(words), two[ok2], three[ok3] + (np.uint64(2) << np.uint64(40)), four(begins[long]) + (np.uint64(3) << np.uint64(40)), four(begins[long] + lengths[long] - 2) + (np.uint64(4) << np.uint64(40))])
+    owners = np.concatenate([np.arange(n), owner[:-1][ok2], owner[:-2][ok3], long, long])
+    order = np.argsort(owners, kind="stable")
+    return (mixed(keys[order]) % np.uint64(BUCKETS)).astype(np.int64), np.append(0, np.cumsum(np.bincount(owners, minlength=n))).astype(np.int64)
+
+
+def has_letter(words: pa.Array) -> np.ndarray:
+    raw, offsets = text_bytes(words)
+    ascii_letter = ((raw | 32) >= 97) & ((raw | 32) <= 122) & (raw < 128)
+    count = lambda x: np.diff(np.append(0, np.cumsum(x))[offsets])
+    out = count(ascii_letter) > 0
+    for i in np.flatnonzero(~out & (count(raw > 127) > 0)):
+        out[i] = any(map(str.isalpha, words[int(i)].as_py().decode("utf-8", "replace")))
+    return out
 
 
 @dataclass
@@ -53,33 +76,28 @@ class CrfModel:
     labels: list[str]
     weights: np.ndarray  # BUCKETS x labels
     transitions: np.ndarray  # from x to
-    lexicon: dict[str, int]  # word -> label
+    lexicon: pa.Array  # words
+    lexicon_label: np.ndarray
     lexicon_weights: np.ndarray  # labels: weight of "the lexicon says so"
-    remembered: dict[bytes, tuple[np.ndarray, bool]] = field(default_factory=dict)
-
-    def __getstate__(self):
-        return {**self.__dict__, "remembered": {}}
-
-    def emission(self, word: bytes) -> tuple[np.ndarray, bool]:
-        """Scores of the labels for one word, and whether it has a letter."""
-        text = word.decode("utf-8", "replace")
-        score = self.weights[features_of(text)].sum(axis=0)
-        at = self.lexicon.get(text.lower())
-        if at is not None:
-            score = score.copy()
-            score[at] += self.lexicon_weights[at]
-        return score, any(map(str.isalpha, text))
-
-    def emissions(self, distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.remembered) > REMEMBERED:
-            self.remembered.clear()
-        for w in distinct:
-            if w not in self.remembered:
-                self.remembered[w] = self.emission(w)
-        rows = [self.remembered[w] for w in distinct]
-        if not rows:
+
+    def emissions(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the labels for each word (0 for one without letters), and whether it has a letter."""
+        if not len(distinct):
             return np.zeros((0, len(self.labels)), np.float32), np.zeros(0, bool)
-        return np.array([r[0] for r in rows], np.float32), np.array([r[1] for r in rows])
+        letters = has_letter(distinct)
+        flat, ends = word_features(distinct)
+        out = np.stack([np.add.reduceat(self.weights[:, k][flat], ends[:-1]) for k in range(len(self.labels))], axis=1)
+        said = in_lexicon(distinct, self.lexicon, self.lexicon_label)
+        at = np.flatnonzero(said >= 0)
+        out[at, said[at]] += self.lexicon_weights[said[at]]
+        out[~letters] = 0
+        return out.astype(np.float32), letters
+
+
+def in_lexicon(words: pa.Array, lexicon: pa.Array, label: np.ndarray) -> np.ndarray:
+    """The lexicon's label of each word, or -1."""
+    at = pc.fill_null(pc.index_in(words, lexicon), -1).to_numpy(zero_copy_only=False)
+    return np.where(at >= 0, label[at] if len(label) else -1, -1)
 
 
 def packing(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,30 +149,27 @@ def marginals(scores: np.ndarray, transitions: np.ndarray, alive: np.ndarray) ->
     return out, pairs
 
 
-def fit_part(words: list[list[str]], labels: np.ndarray, n_labels: int, lexicon: dict[str, int], *, epochs: int = 4, rate: float = 0.3, l2: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit_part(words: list[list[bytes]], labels: np.ndarray, n_labels: int, lexicon: dict[bytes, int], *, epochs: int = 4, rate: float = 0.3, l2: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Adagrad on the CRF likelihood of one part's sequences of joined segments."""
     rng = np.random.default_rng(seed)
     w, tr, lx = np.zeros((BUCKETS, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels)
     gw, gt, gl = np.full_like(w, 1e-2), np.full_like(tr, 1.0), np.full_like(lx, 1.0)
-    known: dict[str, int] = {}
-    feats: list[list[int]] = []
+    known: dict[bytes, int] = {}
     segments = []
     for text, y in zip(words, labels, strict=True):
         for i in range(0, len(text), 20):
             ids = []
             for x in text[i : i + 20]:
-                if x not in known:
-                    known[x] = len(feats)
-                    feats.append(features_of(x))
-                ids.append(known[x])
+                ids.append(known.setdefault(x, len(known)))
             segments.append((ids, int(y)))
     if not segments:
         return w, tr, lx
-    flat, owner = np.array([f for x in feats for f in x]), np.repeat(np.arange(len(feats)), [len(x) for x in feats])
-    said = np.full(len(feats), -1)
-    for x, i in known.items():
-        said[i] = lexicon.get(x.lower(), -1)
-    inside = np.flatnonzero(said >= 0)
+    distinct = pa.array(list(known), pa.large_binary())
+    flat, ends = word_features(distinct)
+    owner = np.repeat(np.arange(len(known)), np.diff(ends))
+    lettered = has_letter(distinct)
+    flat, owner = flat[lettered[owner]], owner[lettered[owner]]
+    said = np.array([lexicon.get(x, -1) for x in known])
     for _ in range(epochs):
         order = rng.permutation(len(segments))
         # sequences of one to three segments
@@ -220,10 +235,10 @@ def fit(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     sample = have.withColumn("dice", F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) / (1 << 30)).filter(F.col("dice") < share)
     n = len(labels)
 
-    def windows(texts: pd.Series, ids: pd.Series) -> list[list[str]]:
+    def windows(texts: pd.Series, ids: pd.Series) -> list[list[bytes]]:
         out = []
         for text, i in zip(texts, ids, strict=True):
-            w = text.split()
+            w = WORD.findall(text.encode().lower())  # of bytes, lower() is A-Z only
             start = zlib.crc32(str(i).encode()) % max(1, len(w) - window + 1)
             out.append(w[start : start + window])
         return out
@@ -232,14 +247,14 @@ def fit(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
         seen: Counter = Counter()
         for b in batches:
             for w, lang in zip(windows(b["text"], b["id"]), b["lang"], strict=True):
-                seen.update((x.lower(), lang) for x in w)
+                seen.update((x.decode(), lang) for x in w)
         yield pd.DataFrame([(w, lang, c) for (w, lang), c in seen.items()], columns=["word", "lang", "n"])
 
     tallies = sample.select("id", "text", "lang").mapInPandas(count_words, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")).filter("n >= 3").collect()
     by_word: dict[str, dict[str, int]] = defaultdict(dict)
     for r in tallies:
         by_word[r["word"]][r["lang"]] = r["n"]
-    lexicon = {w: labels.index(max(c, key=lambda k: (c[k], k))) for w, c in by_word.items() if max(c.values()) >= 0.7 * sum(c.values())}
+    lexicon = {w.encode(): labels.index(max(c, key=lambda k: (c[k], k))) for w, c in by_word.items() if max(c.values()) >= 0.7 * sum(c.values())}
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
@@ -248,7 +263,7 @@ def fit(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
     parts = sample.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).select("part", "id", "text", "lang").groupBy("part").applyInPandas(train, "part int, w binary, tr binary, lx binary").orderBy("part").collect()
     mean = lambda k, *shape: np.mean([np.frombuffer(p[k], np.float32).reshape(shape) for p in parts], axis=0)
-    return CrfModel(labels, mean("w", BUCKETS, n), mean("tr", n, n), lexicon, mean("lx", n))
+    return CrfModel(labels, mean("w", BUCKETS, n), mean("tr", n, n), pa.array(list(lexicon), pa.large_binary()), np.array(list(lexicon.values()), np.int64), mean("lx", n))
 
 
 def predict(docs: DataFrame, model: CrfModel | None, *, id_col: str = "doc_id", text_col: str = "text", spans: bool = False, keep: list[str] | None = None) -> DataFrame:
@@ -273,7 +288,7 @@ def predict(docs: DataFrame, model: CrfModel | None, *, id_col: str = "doc_id",
                 if crf is not None:
                     words, ends = words_of(part.column("__text"))
                     codes, distinct = coded(words)
-                    emissions, letters = crf.emissions(distinct.to_pylist())
+                    emissions, letters = crf.emissions(distinct)
                     lengths = np.diff(ends)
                     some = np.flatnonzero(lengths)
                     if len(some):
