@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import audio, bpe, crf_langid, decontaminate, kdshard, lineblock, pst, url_lm
+from tessera.llm import audio, bpe, crf_langid, decontaminate, jaccard_join, kdshard, lineblock, pst, url_lm
 from tessera.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crf_langid.fold(docs, 5) == 0
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_bpe_encoding": op5_bpe_encoding,
         "op6_kd_sharding": op6_kd_sharding,
         "op7_decontamination": op7_decontamination,
+        "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_crf_language_id": op9_crf_language_id,
     }
 
