@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import audio, bpe, crf_langid, decontaminate, jaccard_join, kdshard, lineblock, pst, url_lm
+from tessera.llm import audio, bpe, crf_langid, decontaminate, jaccard_join, kdshard, lineblock, pst, suffix_dedup, url_lm
 from tessera.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op9_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_langid.predict(docs, model).withColumn("held_out", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)), F.lit(0)) == 0).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_char_lm": op1_url_char_lm,
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_decontamination": op7_decontamination,
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_crf_language_id": op9_crf_language_id,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
