@@ -128,19 +128,20 @@ def coder(path: str) -> ForcedBoundaryBPE:
     return ForcedBoundaryBPE(path)
 
 
-def encode_decode(docs: DataFrame, *, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, *, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, keep_text: bool = False) -> DataFrame:
     """Encode each whole text and decode the ids again.
 
-    Returns ``id_col``, n_tokens, ids (comma-joined text, only with ``keep_text``),
-    decoded (only with ``keep_text``), ids_sha256 and decoded_sha256.
+    Returns ``id_col``, the columns of ``keep``, n_tokens, ids_sha256 and decoded_sha256,
+    and with ``keep_text`` ids (comma-joined) and decoded.
 
     Null and empty texts have no ids: n_tokens 0 and the hash of the empty string.
     Very long texts are encoded whole.  Repeated rows give repeated results; an empty
     table gives no rows.  Other columns, whatever their names, are not read.
     """
     path = path or default_path()
-    id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids string, decoded string" if keep_text else "")
+    kept = [id_col, *(keep or [])]
+    types = ", ".join(f"k{j} {docs.schema[c].dataType.simpleString()}" for j, c in enumerate(kept))
+    schema = f"{types}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids string, decoded string" if keep_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
@@ -148,10 +149,12 @@ def encode_decode(docs: DataFrame, *, path: str | None = None, id_col: str = "do
             for part in steps(batch, "text"):
                 n, ids, decoded = bpe.encode(part.column("text"))
                 text = [d.decode("utf-8", "replace") for d in decoded]
-                cols = [part.column("id"), pa.array(n), [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(x.encode()).hexdigest() for x in text]]
+                cols = [*(part.column(f"k{j}") for j in range(len(kept))), pa.array(n), [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(x.encode()).hexdigest() for x in text]]
                 if keep_text:
                     cols += [[x.decode() for x in ids], text]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.string()) for c in cols], names=names)
 
-    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep_text
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)
+    made = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep_text
+    names = [f"k{j}" for j in range(len(kept))] + made
+    rows = docs.select(*[docs[c].alias(f"k{j}") for j, c in enumerate(kept)], docs[text_col].alias("text"))
+    return rows.mapInArrow(run, schema).toDF(*kept, *made)

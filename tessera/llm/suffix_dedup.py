@@ -379,3 +379,28 @@ def digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_bytes"), pick(F.col("n"), F.col("gone"), zero).alias("n_removed"), pick(F.lit(1).cast("long"), F.col("runs"), zero).alias("n_spans"), pick(F.lit(empty), F.col("kept"), F.col("sha")).alias("kept_sha256"),
     )
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
+    """The documents with their repeated bytes removed, all columns kept.
+
+    A character that a cut divides goes whole.  Documents without repeats, null and
+    empty texts are returned unchanged.
+    """
+    marked, spans = repeats(docs, id_col=id_col, text_col=text_col, params=params)
+    copied = marked.filter("copied").select("f1", "f2", "n").distinct().select("f1", "f2", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("stop"))).alias("spans"))
+    spans = materialize(spans.unionByName(copied), "op10-spans")
+    names = docs.columns
+    known = _affected(docs, spans, text_col)
+    clean = known.filter("not __maybe").select(*names)
+    joined = known.filter("__maybe").join(spans.select(F.col("f1").alias("__f1"), F.col("f2").alias("__f2"), F.col("spans").alias("__spans")), ["__f1", "__f2"], "left").select(*names, "__spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for t, s in zip(batch.column(text_col).to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+                texts.append(cut_out(t.encode(), merged([(x["start"], x["stop"]) for x in s])).decode("utf-8", "ignore") if s else t)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names], names=names)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return clean.unionByName(joined.mapInArrow(run, fields))
