@@ -31,6 +31,7 @@ from tessera.llm.common import coded, hashed, materialize, mixed, steps, words_o
 from tessera.llm.components import components
 
 BLOCK_SETS, BLOCK_MEMBERS = 512, 150_000  # of one block
+SALTS = 32
 MOST_BITS = 1 << 26  # of the filter that spares settled documents a second reading (8 MB)
 
 
@@ -197,16 +198,19 @@ def spanning(links: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
 
 def _family_links(families: DataFrame, params: Params) -> DataFrame:
     """a, b: links between classes, from family, class, n, members."""
-    whole = families.groupBy("family").agg(F.sum("n").alias("all_members"), F.count("*").alias("all_sets"))
-    small = (F.col("all_members") <= BLOCK_MEMBERS) & (F.col("all_sets") <= BLOCK_SETS)
     # a link's sizes are less than a band apart, so its bands are equal or neighbours
-    band = F.when(small, 0).otherwise(F.floor(F.log("n") / F.log(F.lit(100 / (params.percent - 1))))).cast("int")
-    rows = families.join(whole, "family").withColumn("band", band).drop("all_members", "all_sets")
-    sizes = rows.groupBy("family", "band").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_MEMBERS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
+    band = F.floor(F.log("n") / F.log(F.lit(100 / (params.percent - 1)))).cast("int")
+    light = families.select("family", "class", "n").withColumns({"band": band, "salt": F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")})
+    sizes = light.groupBy("family", "band").agg(F.sum("n").alias("members"), F.count("*").alias("sets"))
+    whole = sizes.groupBy("family").agg(((F.sum("members") <= BLOCK_MEMBERS) & (F.sum("sets") <= BLOCK_SETS)).alias("small"))
+    sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int")).join(whole, "family")
     after = sizes.select("family", (F.col("band") - 1).alias("band"), F.col("blocks").alias("blocks_after"))
     before = sizes.select("family", (F.col("band") + 1).alias("band"), F.col("blocks").alias("blocks_before"))
-    sizes = sizes.join(after, ["family", "band"], "left").join(before, ["family", "band"], "left").na.fill(0, ["blocks_after", "blocks_before"])
-    rows = rows.join(sizes, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+    sizes = sizes.join(after, ["family", "band"], "left").join(before, ["family", "band"], "left").drop("members", "sets")
+    # a small family is one task; of a large one the rows are dealt over salts, without their members
+    one = lambda c, n: F.when(F.col("small"), n).otherwise(F.coalesce(c, F.lit(0))).alias(c)
+    sizes = sizes.select("family", "band", "small", one("blocks", 1), one("blocks_after", 0), one("blocks_before", 0), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = light.join(sizes, ["family", "band", "salt"]).withColumn("band", F.expr("if(small, 0, band)")).withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
     none = F.array().cast("array<int>")
     upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(none)
     task = lambda b1, i, b2, j, side: F.struct(b1.cast("int").alias("b1"), i.alias("i"), b2.cast("int").alias("b2"), j.alias("j"), F.lit(side).alias("side"))
@@ -217,7 +221,7 @@ def _family_links(families: DataFrame, params: Params) -> DataFrame:
         F.transform(upto("blocks_after"), lambda j: task(b, i, b + 1, j, 0)),
         F.transform(upto("blocks_before"), lambda j: task(b - 1, j, b, i, 1)),
     )
-    dealt = rows.select("family", "class", "members", F.explode(tasks).alias("task")).select("family", "class", "members", "task.*")
+    dealt = rows.select("family", "class", F.explode(tasks).alias("task")).select("family", "class", "task.*").join(families.select("class", "members"), "class")
     percent = params.percent
 
     def join(group: pa.Table) -> pa.Table:
