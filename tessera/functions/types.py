@@ -53,12 +53,10 @@ def wrapped(col: Column, kind: ElementType) -> Column:
     """A whole number reduced to the range of ``kind``, as two's complement does."""
     if kind.floating:
         return col.cast(kind.spark)
-    wide = "decimal(38,0)"
-    size = F.lit(1 << kind.bits).cast(wide) if kind.bits == 64 else F.lit(1 << kind.bits)
+    number = (lambda x: F.expr(f"cast('{x}' as decimal(38,0))")) if kind.bits == 64 else F.lit
     low = (1 << (kind.bits - 1)) if kind.signed else 0
-    low_lit = F.lit(low).cast(wide) if kind.bits == 64 else F.lit(low)
-    value = col.cast(wide) if kind.bits == 64 else col
-    return (F.pmod(value + low_lit, size) - low_lit).cast(kind.spark)
+    value = col.cast("decimal(38,0)") if kind.bits == 64 else col
+    return (F.pmod(value + number(low), number(1 << kind.bits)) - number(low)).cast(kind.spark)
 
 
 def divided(a: Column, b: Column, kind: ElementType) -> Column:

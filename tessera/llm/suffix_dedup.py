@@ -251,12 +251,14 @@ def _grouped_stretches(rows: DataFrame, params: Params) -> DataFrame:
             group = list({g[1:4]: g for g in group}.values())  # a copy may have been read twice
             if len(group) < 2:
                 continue
-            best: dict[tuple[int, int], set] = defaultdict(set)
+            # all stretches of a member hold its gram, so together they are one stretch
+            reach: dict[int, tuple[int, int]] = {}
             for member, before, after in group_spans([g[5] for g in group], [g[4][::-1] for g in group], side):
-                best[member, after].add(before)
-            for (member, after), before in best.items():
+                b, a = reach.get(member, (0, 0))
+                reach[member] = max(b, before), max(a, after)
+            for member, (before, after) in reach.items():
                 _, f1, f2, at, _, _ = group[member]
-                out.append((f1, f2, at - max(before), at + k + after))
+                out.append((f1, f2, at - before, at + k + after))
             if len(out) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
                 out = []
@@ -277,7 +279,9 @@ def _hot_stretches(rows: DataFrame, params: Params) -> DataFrame:
     texts = texts.select("h", "b", "f1", "f2", "at", F.xxhash64(string).alias("s1"), F.crc32(string).alias("s2"))
     who = F.struct("f1", "f2", "at")
     twice = texts.groupBy("h", "b", "s1", "s2").agg(F.min(who).alias("x"), F.max(who).alias("y")).filter("x <> y").select("h", "b", "s1", "s2")
-    return texts.join(twice, ["h", "b", "s1", "s2"]).select("f1", "f2", (F.col("at") - F.col("b")).alias("start"), (F.col("at") - F.col("b") + params.length).alias("stop"))
+    found = texts.join(twice, ["h", "b", "s1", "s2"]).withColumn("start", F.col("at") - F.col("b"))
+    # strings around one gram overlap in it
+    return found.groupBy("f1", "f2", "at").agg(F.min("start").alias("start"), (F.max("start") + params.length).alias("stop")).select("f1", "f2", "start", "stop")
 
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> tuple[DataFrame, DataFrame]:

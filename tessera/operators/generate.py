@@ -47,11 +47,12 @@ def geometric_wrapping(spark: SparkSession, n: int, start: int, ratio: int, kind
     t = element(kind)
     if t.bits > 32:
         raise ValueError("wrapping products are defined for 32 bits or fewer")
-    size = 1 << t.bits
-    value, power = F.lit(start % size).cast("decimal(38,0)"), ratio % size
+    size, power, steps = 1 << t.bits, ratio % (1 << t.bits), []
     for bit in range(40):  # of the index
-        value = F.when(F.expr(f"shiftright(i, {bit}) & 1") == 1, F.pmod(value * F.lit(power), F.lit(size).cast("decimal(38,0)"))).otherwise(value)
+        steps.append(F.struct(F.lit(bit).alias("bit"), F.lit(power).cast("decimal(38,0)").alias("power")))
         power = power * power % size
+    chosen = F.filter(F.array(*steps), lambda s: F.getbit("i", s["bit"]) == 1)
+    value = F.aggregate(chosen, F.lit(start % size).cast("decimal(38,0)"), lambda v, s: F.pmod(v * s["power"], F.lit(size)).cast("decimal(38,0)"))
     return buffer(spark, n).withColumn("v", wrapped(value.cast("long"), t))
 
 

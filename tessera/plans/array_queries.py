@@ -37,7 +37,7 @@ def vec_arithmetic(spark, sf_dir):
     return _keys(launch(df, "div", "q", "l_extendedprice", "l_quantity"), "s", "d", "p", "q")
 
 
-@query("integer_division", f"SELECT {LK}, CASE WHEN l_linenumber - 3 <> 0 THEN (l_orderkey - 700) // (l_linenumber - 3) + CASE WHEN (l_orderkey - 700) % (l_linenumber - 3) <> 0 AND ((l_orderkey - 700) < 0) <> ((l_linenumber - 3) < 0) AND (l_orderkey - 700) // (l_linenumber - 3) * (l_linenumber - 3) <> trunc((l_orderkey - 700)::DOUBLE / (l_linenumber - 3)) * (l_linenumber - 3) THEN 1 ELSE 0 END END AS q FROM lineitem")
+@query("integer_division", f"SELECT {LK}, CAST(trunc((l_orderkey - 700)::DOUBLE / nullif(l_linenumber - 3, 0)) AS BIGINT) AS q FROM lineitem")
 def integer_division(spark, sf_dir):
     a, b = F.col("l_orderkey") - 700, F.col("l_linenumber") - 3
     return _keys(_lines(spark, sf_dir), divided(a, b, element("int64")).alias("q"))
@@ -117,9 +117,9 @@ def fill_buffers(spark, sf_dir):
     return a.withColumnRenamed("v", "filled").join(b.withColumnRenamed("v", "set"), "i").join(c.withColumnRenamed("v", "seq"), "i")
 
 
-@query("geometric_seq", "SELECT i, 3 * pow(1.5, i) AS v FROM range(40) t(i)")
+@query("geometric_seq", "SELECT i, round(3 * pow(1.5, i), 3) AS v FROM range(40) t(i)")
 def geometric_seq(spark, sf_dir):
-    return generate.geometric(spark, 40, 3, 1.5)
+    return generate.geometric(spark, 40, 3, 1.5).withColumn("v", F.round("v", 3))
 
 
 @query("geometric_wrapping", "WITH RECURSIVE s(i, v) AS (SELECT 0::BIGINT, 3::BIGINT UNION ALL SELECT i + 1, v * 7 % 4294967296 FROM s WHERE i < 99) SELECT i, CAST(CASE WHEN v >= 2147483648 THEN v - 4294967296 ELSE v END AS INTEGER) AS v FROM s")
@@ -127,7 +127,7 @@ def geometric_wrapping(spark, sf_dir):
     return generate.geometric_wrapping(spark, 100, 3, 7)
 
 
-@query("quasi_uniform", "SELECT i, list_sum(list_transform(range(0, 32), k -> ((i >> k) & 1) * pow(2.0, -(k + 1)))) AS v FROM range(500) t(i)")
+@query("quasi_uniform", "SELECT i, list_sum(list_transform(range(0, 32), lambda k: ((i >> k) & 1) * pow(2.0, -(k + 1)))) AS v FROM range(500) t(i)")
 def quasi_uniform(spark, sf_dir):
     return generate.quasi_uniform(spark, 500)
 

@@ -49,10 +49,10 @@ def makespan(spark, sf_dir):
     return history.makespan(trace(spark, sf_dir), "dag", "policy")
 
 
-@query("makespan_policy", _with("SELECT policy, round(median(makespan), 6) AS median, round(stddev_samp(makespan), 6) AS std FROM (SELECT dag, policy, max(\"end\") - min(start) AS makespan FROM trace GROUP BY ALL) GROUP BY policy"))
+@query("makespan_policy", _with("SELECT policy, round(median(makespan), 3) AS median, round(stddev_samp(makespan), 3) AS std FROM (SELECT dag, policy, (max(\"end\") - min(start)) / 1e6 AS makespan FROM trace GROUP BY ALL) GROUP BY policy"))
 def makespan_policy(spark, sf_dir):
-    spans = history.makespan(trace(spark, sf_dir), "dag", "policy")
-    return history.summary(spans, "makespan", "policy").select("policy", F.round("median", 6).alias("median"), F.round("std", 6).alias("std"))
+    spans = history.makespan(trace(spark, sf_dir), "dag", "policy").withColumn("makespan", F.col("makespan") / 1e6)
+    return history.summary(spans, "makespan", "policy").select("policy", F.round("median", 3).alias("median"), F.round("std", 3).alias("std"))
 
 
 @query("summary_stats", _with("SELECT kernel, devno, round(avg(duration), 4) AS mean, max(duration) AS max, min(duration) AS min, round(median(duration), 4) AS median, round(stddev_samp(duration), 4) AS std FROM trace GROUP BY ALL"))
