@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 
 from tessera.lineage import cut_lineage
 
-BY_MEM = W.partitionBy("mem_id").orderBy("seq", "task_id")
-BEFORE = BY_MEM.rowsBetween(W.unboundedPreceding, -1)
+
+def _by_mem() -> WindowSpec:
+    return W.partitionBy("mem_id").orderBy("seq", "task_id")
 
 
 def _writes() -> Column:
@@ -23,7 +25,8 @@ def _writes() -> Column:
 
 def with_epochs(access: DataFrame) -> DataFrame:
     """Adds epoch (writes of the buffer so far) and last_writer (task of the latest one)."""
-    return access.withColumns({"epoch": F.coalesce(F.sum(F.when(_writes(), 1).otherwise(0)).over(BEFORE), F.lit(0)), "last_writer": F.last(F.when(_writes(), F.col("task_id")), ignorenulls=True).over(BEFORE)})
+    before = _by_mem().rowsBetween(W.unboundedPreceding, -1)
+    return access.withColumns({"epoch": F.coalesce(F.sum(F.when(_writes(), 1).otherwise(0)).over(before), F.lit(0)), "last_writer": F.last(F.when(_writes(), F.col("task_id")), ignorenulls=True).over(before)})
 
 
 def auto_dependencies(access: DataFrame) -> DataFrame:
@@ -53,7 +56,7 @@ def shadow_versions(access: DataFrame) -> DataFrame:
 def inputs_outputs(access: DataFrame, is_reset: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Input and output buffers of tasks.  The first use of a buffer in ``is_reset``
     (mem_id) is no input: it was initialised there."""
-    nth = F.row_number().over(BY_MEM)
+    nth = F.row_number().over(_by_mem())
     log = access.withColumn("nth", nth)
     if is_reset is not None:
         log = log.join(is_reset.select("mem_id", F.lit(True).alias("reset")).distinct(), "mem_id", "left").filter(~(F.coalesce("reset", F.lit(False)) & (F.col("nth") == 1)) | (F.col("mode") == "w"))
