@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -182,18 +183,19 @@ def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.all([bits[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1) for p in filter_places(keys, len(bits) * 64)], axis=0).astype(bool)
 
 
-def _occurrences(docs: DataFrame, params: Params, doc_bits: np.ndarray, gram_bits: np.ndarray) -> DataFrame:
+def _occurrences(docs: DataFrame, params: Params, doc_bits: np.ndarray, gram_bits: np.ndarray, hot_bits: np.ndarray) -> DataFrame:
     """The second reading: f1, f2, and either a settled stretch (start, stop) or an
-    occurrence (h, at, left, right) of a gram that occurs again.
+    occurrence (h, at, left, right) of a gram that occurs again, and whether the gram is hot.
+    ``hot_bits`` may call a gram hot that isn't: both ways to treat it give the same.
 
     Occurrences of one step with equal surroundings settle each other; one stands for
     them in the shuffle.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((doc_bits, gram_bits))
+    shared = docs.sparkSession.sparkContext.broadcast((doc_bits, gram_bits, hot_bits))
     k, side = params.k, params.side
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc_bits, gram_bits = shared.value
+        doc_bits, gram_bits, hot_bits = shared.value
         for batch in batches:
             for part in steps(batch, "text", STEP):
                 raw, ends = text_bytes(part.column("text"))
@@ -220,11 +222,13 @@ def _occurrences(docs: DataFrame, params: Params, doc_bits: np.ndarray, gram_bit
                     if len(found) > 1 and len(left) + len(right) >= side:
                         rows += [(g1, g2, q - len(left), q + k + len(right), None, None, None, None) for g1, g2, q in found]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                    hot = _has(hot_bits, pc.fill_null(cols[4], 0).to_numpy())
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(hot)], names=[*names, "hot"])
 
     types = [pa.int64()] * 6 + [pa.binary()] * 2
     names = ["f1", "f2", "start", "stop", "h", "at", "before", "after"]
-    return docs.mapInArrow(run, "f1 long, f2 long, start long, stop long, h long, at long, before binary, after binary")
+    return docs.mapInArrow(run, "f1 long, f2 long, start long, stop long, h long, at long, before binary, after binary, hot boolean")
 
 
 def _in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -304,14 +308,14 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     keys = materialize(firsts.join(holders, "row", "left_semi").select(F.expr("f1 ^ xxhash64(id)").alias("key")), "op10-keys")
     doc_bits = _filter_bits(keys, keys.count())
     gram_bits = _filter_bits(again.select(F.col("h").alias("key")), again.count())
-    seen = materialize(_occurrences(rows.select("key", "text"), params, doc_bits, gram_bits), "op10-seen")
-    open_ = seen.filter("h is not null").select("h", "f1", "f2", "at", "before", "after")
-    hot = again.filter(F.col("times") > params.most).select("h")
-    stretches = seen.filter("h is null").select("f1", "f2", "start", "stop")
-    if hot.limit(1).count():
-        stretches = stretches.union(_hot_stretches(open_.join(hot, "h", "left_semi"), params))
-        open_ = open_.join(hot, "h", "left_anti")
-    stretches = stretches.union(_grouped_stretches(open_, params))
+    hot = again.filter(F.col("times") > params.most).select(F.col("h").alias("key"))
+    hot_grams = hot.count()
+    hot_bits = _filter_bits(hot, hot_grams)
+    seen = materialize(_occurrences(rows.select("key", "text"), params, doc_bits, gram_bits, hot_bits), "op10-seen")
+    open_ = seen.filter("h is not null").select("h", "f1", "f2", "at", "before", "after", "hot")
+    stretches = seen.filter("h is null").select("f1", "f2", "start", "stop").union(_grouped_stretches(open_.filter("not hot"), params))
+    if hot_grams:
+        stretches = stretches.union(_hot_stretches(open_.filter("hot"), params))
     whole = classes.select("f1", "f2", (F.col("copies") > 1).alias("copied"))
     spans = stretches.join(whole.filter("not copied"), ["f1", "f2"], "left_semi").groupBy("f1", "f2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     marked = scanned.drop("grams").join(whole, ["f1", "f2"], "left").withColumn("copied", F.coalesce("copied", F.lit(False)) & (F.col("n") >= params.length))
