@@ -79,6 +79,16 @@ def _prefix(n, percent: int):
     return n - (n * percent + 99) // 100 + 1
 
 
+def _least_kept(n: int, percent: int) -> int:
+    """How many of its n members a class keeps in the first reading.
+
+    Members that a linked class has but didn't keep count as its own there.  By the sizes
+    of both and their least overlap they, and those it has alone, stay below the prefix's
+    length: with half of it rounded down, a class of prefix 2 can be settled wrongly.
+    """
+    return min(n, (3 * _prefix(n, percent) + 1) // 2 + 4)
+
+
 def _sets(docs: DataFrame, params: Params, lowest: bool, bits: np.ndarray | None = None) -> DataFrame:
     """row, id, n, f1, f2, members of each document; only the least members with ``lowest``,
     only documents that ``bits`` may hold (by the hash of their id)."""
@@ -99,7 +109,7 @@ def _sets(docs: DataFrame, params: Params, lowest: bool, bits: np.ndarray | None
                 # sets without members belong to no class; a value of the row's own keeps them apart
                 prints = [_fingerprint(s if len(s) else np.array([r, -1])) for s, r in zip(sets, rows, strict=True)]
                 if lowest:
-                    sets = [s[: 3 * _prefix(len(s), params.percent) // 2 + 4] for s in sets]
+                    sets = [s[: _least_kept(len(s), params.percent)] for s in sets]
                 ends = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)
                 members = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), pa.array(n), pa.array([f[0] for f in prints], pa.int64()), pa.array([f[1] for f in prints], pa.int64()), members], names=["row", "id", "n", "f1", "f2", "members"])

@@ -68,6 +68,29 @@ def test_jaccard_components(spark, monkeypatch, k, percent, block):
     assert got == {i: (n, t) for i, (n, t) in enumerate(zip(sizes, tops, strict=True))}
 
 
+def test_jaccard_of_short_texts_less_a_word_at_either_end(spark):
+    texts = []
+    for n in range(4, 17):
+        for cut in (slice(1, None), slice(0, -1)):
+            for _ in range(4):
+                words = [f"w{len(texts)}x{i}" for i in range(n)]
+                texts += [" ".join(words), " ".join(words[cut])]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(docs_of(spark, texts)).collect()}
+    sizes, tops = brute_components(texts, 4, 85)
+    assert got == {i: (n, t) for i, (n, t) in enumerate(zip(sizes, tops, strict=True))}
+
+
+@pytest.mark.parametrize("percent", [60, 80, 85, 90, 99])
+def test_jaccard_first_reading_settles_no_linked_class(percent):
+    kept = [jaccard_join._least_kept(n, percent) for n in range(301)]
+    for a in range(1, 301):
+        for b in range(a * percent // 100, min(301, a * 100 // percent + 1)):
+            overlap = -(-percent * (a + b) // (100 + percent))
+            if overlap <= min(a, b) and kept[b] < b:
+                # of a: the members that b hasn't, and those that b has and didn't keep
+                assert kept[a] - kept[b] + b - overlap < jaccard_join._prefix(a, percent), (a, b)
+
+
 def test_jaccard_empty_and_repeated(spark):
     docs = docs_of(spark, ["a b c d e", None])
     assert jaccard_join.near_duplicates(docs.limit(0)).count() == 0
