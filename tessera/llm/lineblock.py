@@ -2,10 +2,12 @@
 
 Markup is stripped into lines, one for each block of the page.  Each line has a text
 length; lines of boilerplate containers (menus, forms, adverts, comments ...) and lines
-that are mostly links count as 0.  The lengths are summed over a sliding window of
-``window`` lines.  The main text begins at the surge point, where the sums first rise
-to a share of their peak in a stretch of text, and ends at the dive point, where they
-fall to zero after it; the text between the points is kept, less the zeroed lines.
+that are mostly links count as 0 and are left out.  The lengths of the others are summed
+over a sliding window of ``window`` lines.  A stretch of text begins at a surge point,
+where the sums rise over a share of their peak, and ends at a dive point, where they
+fall below it.  The heaviest stretch chooses the element that holds the main text, on
+pages with article and main elements too, and that element's lines are kept whole: a
+short heading or lead before the surge point, and what follows an advert within the text.
 
 One narrow pass over the rows; a page needs memory for its own lines only.
 """
@@ -23,6 +25,7 @@ from tessera.llm.common import steps
 
 WINDOW = 3
 SURGE = 0.05  # share of the peak at which a stretch counts as text
+HOLDS = 0.9  # share of the stretch that its container holds
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe|object|title)\b[^>]*(?:\"[^\"]*\"[^>]*)*>.*?(?:</\1\s*>|\Z)"
@@ -32,6 +35,8 @@ _TOKEN = re.compile(
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+_MAIN = ("article", "main")
+_CONTAINER = frozenset("html body article main section div td center".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _NOISE_TAG = frozenset("nav header footer aside form button menu head fieldset dialog label option".split())
 _NOISE_NAME = re.compile(
@@ -63,13 +68,14 @@ def _is_noise(tag: str, attributes: str, inside_main: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """The page's lines in order: text, its length (0 for boilerplate), whether in article or main."""
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, noise within, main within
+def lines_of(page: str) -> list[tuple[str, int, tuple]]:
+    """The page's lines in order: text, its length (0 for boilerplate), the containers around it (number, tag)."""
+    out: list[tuple[str, int, tuple]] = []
+    stack: list[tuple[str, bool, bool, tuple]] = []  # tag, noise within, main within, containers
     parts: list[str] = []
-    linked = in_link = 0
+    linked = in_link = opened = 0
     noise = main = False
+    around: tuple = ()
 
     def flush() -> None:
         nonlocal linked
@@ -77,7 +83,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 weight = 0 if noise or (linked >= 0.8 * len(text) and not main) else len(text)
-                out.append((text, weight, main))
+                out.append((text, weight, around))
             parts.clear()
             linked = 0
 
@@ -89,9 +95,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 linked += len(text)
 
     def shut(index: int) -> None:
-        nonlocal noise, main
+        nonlocal noise, main, around
         del stack[index:]
-        noise, main = stack[-1][1:] if stack else (False, False)
+        noise, main, around = stack[-1][1:] if stack else (False, False, ())
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -131,47 +137,46 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                     k -= 1
                 noisy = noise or _is_noise(tag, m[4], main)
             if block or noisy != noise or tag in ("b", "span", "button", "label"):
-                stack.append((tag, noisy, main or tag in ("article", "main")))
-                noise, main = stack[-1][1:]
+                opened += 1
+                stack.append((tag, noisy, main or tag in _MAIN, (*around, (opened, tag)) if tag in _CONTAINER else around))
+                noise, main, around = stack[-1][1:]
     add(page[at:])
     flush()
     return out
 
 
-def main_lines(lines: list[tuple[str, int, bool]], window: int = WINDOW, surge: float = SURGE) -> list[str]:
-    """The lines from the surge to the dive point of the densest stretch, less the zeroed ones.
+def main_lines(lines: list[tuple[str, int, tuple]], window: int = WINDOW, surge: float = SURGE) -> list[str]:
+    """The lines of the densest stretch, from its surge to its dive point, and of its container; zeroed ones are left out.
 
-    Where the page marks an article or main element, only its lines have a length.
+    The container is the innermost article or main element that holds over half of the
+    stretch, else the innermost element that holds ``HOLDS`` of it; the text has the
+    container's ends then.  Of the page's body only the lines that lie in no other
+    container are added to the stretch.
     """
-    marked = any(main and n for _, n, main in lines)
-    lengths = [n if main or not marked else 0 for _, n, main in lines]
-    sums, running = [], 0
-    for i, n in enumerate(lengths):  # sums[i]: lines i .. i + window - 1
-        if not i:
-            running = sum(lengths[:window])
-        else:
-            running += (lengths[i + window - 1] if i + window - 1 < len(lengths) else 0) - lengths[i - 1]
-        sums.append(running)
-    if not any(lengths):
+    at = [i for i, line in enumerate(lines) if line[1]]
+    if not at:
         return []
-    if marked:  # the element's own ends are the points
-        first, last = 0, len(lines)
-    else:
-        level, best, first, last = surge * max(sums), -1, 0, 0
-        i = 0
-        while i < len(sums):
-            if sums[i] <= 0:
-                i += 1
-                continue
-            j = i
-            while j < len(sums) and sums[j] > 0:
-                j += 1
-            start = next((k for k in range(i, j) if sums[k] > level), j)
-            mass = sum(lengths[start:j])
-            if start < j and mass > best:
-                best, first, last = mass, start, j
-            i = j
-    return [text for (text, _, _), n in zip(lines[first:last], lengths[first:last], strict=True) if n]
+    lengths = [lines[i][1] for i in at]
+    sums = [sum(lengths[k : k + window]) for k in range(len(at))]
+    level, best, stretch, k = surge * max(sums), 0, at, 0
+    while k < len(at):
+        first = k
+        while k < len(at) and sums[k] > level:
+            k += 1
+        if (mass := sum(lengths[first:k])) > best:
+            best, stretch = mass, at[first:k]
+        k = max(k, first + 1)
+    held: dict[tuple, list[int]] = {}
+    for i in stretch:
+        for element in lines[i][2]:
+            held.setdefault(element, []).append(lines[i][1])
+    marked = [e for e, n in held.items() if e[1] in _MAIN and 2 * sum(n) > best]
+    others = [e for e, n in held.items() if len(n) > 1 and sum(n) >= HOLDS * best]
+    container = max(marked or others, default=None)
+    if container and container[1] not in ("html", "body"):
+        return [lines[i][0] for i in at if container in lines[i][2]]
+    within = set(stretch)
+    return [lines[i][0] for i in at if i in within or lines[i][2][-1:] == ((container,) if container else ())]
 
 
 def extract_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> str:

@@ -90,6 +90,17 @@ def test_line_block(spark, tag):
     assert got == [(1, "u", want, len(want)), (2, "", "", 0), (3, "v", "", 0), (3, "v", "", 0)]
 
 
+LONG = ["Word %d of a paragraph of the text. " % k * 30 for k in range(6)]
+
+
+def test_line_block_chooses_the_text_among_marked_teasers():
+    teasers = "".join(f"<article><h3>Teaser {k}</h3><p>Read on.</p></article>" for k in range(4))
+    text = ["A headline", *(t.strip() for t in LONG)]
+    story = "<div id=text><h1>A headline</h1>" + "".join(f"<p>{t}</p>" for t in LONG) + "</div>"
+    for page in (teasers + story, story + teasers):
+        assert lineblock.extract_text(f"<html><body>{page}</body></html>").split("\n\n") == text
+
+
 URLS = ["http://A.example.com/en/71?x", "https://b.com/en/1", "http://c.net/de/#x", "http://example.net/de/8", "ftp://d.org/es/2", "http://com/en/", "http://e.com", None, "", "no scheme", "http://x.fr/aé日/", "http://b.com/en/1"] + [f"http://h{i}.example.{t}/{lang}/{i}" for i in range(60) for t in ("com", "net", "org") for lang in ("en", "de", "fr")]
 
 
