@@ -101,6 +101,15 @@ def test_line_block_chooses_the_text_among_marked_teasers():
         assert lineblock.extract_text(f"<html><body>{page}</body></html>").split("\n\n") == text
 
 
+@pytest.mark.parametrize("around", ["<div>%s</div>", "%s"])
+def test_line_block_keeps_the_whole_text(around):
+    advert = "<div class=ad><p>Buy</p><p>this</p><p>now</p><p>here</p></div>"
+    lead = ["Head", "By A. Writer", "A lead.", "It has", "lines of", "few words."]
+    parts = [*(f"<p>{t}</p>" for t in [*lead, *LONG[:3]]), advert, *(f"<p>{t}</p>" for t in LONG[3:])]
+    page = f"<html><body><nav><a href=x>Home</a></nav>{around % ''.join(parts)}<footer>(c)</footer></body></html>"
+    assert lineblock.extract_text(page).split("\n\n") == [*lead, *(t.strip() for t in LONG)]
+
+
 URLS = ["http://A.example.com/en/71?x", "https://b.com/en/1", "http://c.net/de/#x", "http://example.net/de/8", "ftp://d.org/es/2", "http://com/en/", "http://e.com", None, "", "no scheme", "http://x.fr/aé日/", "http://b.com/en/1"] + [f"http://h{i}.example.{t}/{lang}/{i}" for i in range(60) for t in ("com", "net", "org") for lang in ("en", "de", "fr")]
 
 
