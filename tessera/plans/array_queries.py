@@ -169,6 +169,13 @@ def blocked_gemm(spark, sf_dir):
     return linalg.blocked_gemm(m, m, 16)
 
 
+@query("blocked_gram_matrix", "WITH m AS (SELECT vec_id AS i, unnest(range(0, 64)) AS j, CAST(round(unnest(embedding)::DOUBLE * 1000) AS BIGINT) AS v FROM embeddings) SELECT a.j AS i, b.j, sum(a.v * b.v)::DOUBLE AS v FROM m a JOIN m b ON a.i = b.i GROUP BY 1, 2")
+def blocked_gram_matrix(spark, sf_dir):
+    """Transposed times itself, over all rows, by tiles."""
+    m = _matrix(spark, sf_dir, 1 << 62).withColumn("v", F.col("v").cast("double"))
+    return linalg.blocked_gemm(linalg.transpose(m), m, 16)
+
+
 @query("transpose", "SELECT unnest(range(0, 64)) AS i, vec_id AS j, unnest(embedding)::DOUBLE AS v FROM embeddings")
 def transpose(spark, sf_dir):
     m = linalg.rows_to_matrix(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
