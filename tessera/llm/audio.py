@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import steps, text_bytes
+from tessera.llm.common import arrow_map, steps, text_bytes
 
 
 @dataclass(frozen=True)
@@ -161,7 +161,7 @@ def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pa
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(ends)), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {id_type}, n_bytes long, media binary")
+    rows = arrow_map(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, f"id {id_type}, n_bytes long, media binary")
     return rows.select(F.col("id").alias(id_col), "n_bytes", "media")
 
 
@@ -197,7 +197,7 @@ def features(media: DataFrame, *, id_col: str = "doc_id", keep: list[str] | None
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in [id_col, *keep]), *made], names=names)
 
     names = [id_col, *keep, "payload", "n_frames", "tensors", "segments", "mel_mean"]
-    return media.select(id_col, "media", *[c for c in keep if c != "media"]).mapInArrow(run, schema)
+    return arrow_map(media.select(id_col, "media", *[c for c in keep if c != "media"]), run, schema)
 
 
 def digest(found: DataFrame, *, id_col: str = "doc_id") -> DataFrame:

@@ -21,10 +21,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import steps, text_bytes
+from tessera.llm.common import arrow_map, steps, text_bytes
 
-#: Distinct fragments a worker remembers; only speed depends on it.
-REMEMBERED = 300_000
+#: Bytes that the fragments a task remembers may take, about; only speed depends on it.
+REMEMBERED = 24 << 20
+EACH = 400  # bytes of one remembered fragment beside its own, its ids and its decoded bytes
+STEP = 1 << 20
 
 
 def default_path() -> str:
@@ -79,6 +81,7 @@ class ForcedBoundaryBPE:
         # Any added token is matched before splitting; a cut inside one would hide it.
         self.cut = sure & ~inside
         self.known: dict[bytes, tuple[int, bytes, bytes]] = {}
+        self.held = 0
 
     def fragments(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         """All fragments in order, and the n+1 offsets of each text's fragments."""
@@ -100,16 +103,21 @@ class ForcedBoundaryBPE:
 
     def encode_fragments(self, distinct: list[bytes]) -> list[tuple[int, bytes, bytes]]:
         """Of each fragment: its number of ids, the ids as text, the bytes they decode to."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if self.held > REMEMBERED:
+            self.forget()
         new = [x for x in distinct if x not in self.known]
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
+        for i in range(0, len(new), 5_000):
+            part = new[i : i + 5_000]
             for x, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
                 ids = e.ids
-                self.known[x] = (len(ids), ",".join(map(str, ids)).encode(), b"".join([self.bytes_of[k] for k in ids]))
+                self.known[x] = made = (len(ids), ",".join(map(str, ids)).encode(), b"".join([self.bytes_of[k] for k in ids]))
+                self.held += EACH + len(x) + len(made[1]) + len(made[2])
         return [self.known[x] for x in distinct]
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.held = 0
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, list[bytes], list[bytes]]:
         """Per text: number of ids, ids as comma-joined text, decoded bytes."""
         raw, offsets = text_bytes(texts)
@@ -146,15 +154,16 @@ def encode_decode(docs: DataFrame, *, path: str | None = None, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", STEP):
                 n, ids, decoded = bpe.encode(part.column("text"))
                 text = [d.decode("utf-8", "replace") for d in decoded]
                 cols = [*(part.column(f"k{j}") for j in range(len(kept))), pa.array(n), [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(x.encode()).hexdigest() for x in text]]
                 if keep_text:
                     cols += [[x.decode() for x in ids], text]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.string()) for c in cols], names=names)
+        bpe.forget()
 
     made = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep_text
     names = [f"k{j}" for j in range(len(kept))] + made
     rows = docs.select(*[docs[c].alias(f"k{j}") for j, c in enumerate(kept)], docs[text_col].alias("text"))
-    return rows.mapInArrow(run, schema).toDF(*kept, *made)
+    return arrow_map(rows, run, schema).toDF(*kept, *made)

@@ -7,9 +7,13 @@ tasks or a thin DataFrame helper; none of it holds state between queries.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one step inside a task works on; bounds a worker's memory.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[65:91] += 32
@@ -32,9 +36,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder of spark.checkpoint.dir.
+
+    Where it is unset, a session on one machine (tests) gets a temporary folder; on a
+    cluster that folder would be another one on each executor, so there it is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -70,6 +80,21 @@ def release(df: DataFrame) -> None:
         _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are materialized inside are deleted at its end, but for those handed to what it yields."""
+    before, kept = {path for _, path in _WRITTEN}, set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._tessera_path)
+        return df
+
+    yield keep
+    for spark, path in [x for x in _WRITTEN if x[1] not in before | kept]:
+        _delete(spark, path)
+        _WRITTEN.remove((spark, path))
+
+
 @atexit.register
 def _tidy() -> None:
     for spark, path in _WRITTEN:
@@ -79,6 +104,32 @@ def _tidy() -> None:
             return
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` whose tasks give back what they have freed.
+
+    Spark uses a Python worker again for the tasks of later stages; what it would hold
+    on to adds up beside the executor's heap.
+    """
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(task, schema)
+
+
 def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into row ranges of about ``limit`` bytes of ``column`` (one row at least)."""
     if not batch.num_rows:

@@ -26,12 +26,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import coded, hashed, mixed, steps, text_bytes, words_of
+from tessera.llm.common import arrow_map, coded, hashed, mixed, steps, text_bytes, words_of
 
 BUCKETS = 1 << 15
 PARTS = 4
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-STEP = 6 << 20
+STEP = 1 << 20
 
 
 def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -317,7 +317,7 @@ def predict(docs: DataFrame, model: CrfModel | None, *, id_col: str = "doc_id",
     names = [f"k{j}" for j in range(len(kept))] + ["lang_pred", "score"] + ["spans"] * spans
     schema = ", ".join([f"k{j} {types[c]}" for j, c in enumerate(kept)] + ["lang_pred string, score double"] + ["spans array<struct<first: long, last: long, lang: string>>"] * spans)
     rows = docs.select(*[docs[c].alias(f"k{j}") for j, c in enumerate(kept)], docs[text_col].alias("__text"))
-    return rows.mapInArrow(run, schema).toDF(*kept, "lang_pred", "score", *["spans"] * spans)
+    return arrow_map(rows, run, schema).toDF(*kept, "lang_pred", "score", *["spans"] * spans)
 
 
 def fold(docs: DataFrame, parts: int, id_col: str = "doc_id"):

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NOT_ALNUM, steps, words_of
+from tessera.llm.common import NOT_ALNUM, arrow_map, steps, words_of
 
 INDEX_WORDS = 2_000_000
 K1, B = 1.2, 0.75
@@ -231,7 +231,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
 
         item_type = pa.int64() if types[1] == "bigint" else pa.int32() if types[1] == "int" else pa.string()
         names = ["id", "item", "first_word", "score", "question_overlap", "answer_overlap"]
-        here = rows.mapInArrow(run, f"id {types[0]}, item {types[1]}, first_word long, score double, question_overlap double, answer_overlap double")
+        here = arrow_map(rows, run, f"id {types[0]}, item {types[1]}, first_word long, score double, question_overlap double, answer_overlap double")
         found = here if found is None else found.unionByName(here)
     best = F.max_by(F.struct("first_word", "score", "question_overlap", "answer_overlap"), F.struct("score", -F.col("first_word")))
     return found.groupBy("id", "item").agg(best.alias("b"), F.count("*").alias("n_passages")).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.*", "n_passages")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import coded, hashed, materialize, mixed, steps, words_of
+from tessera.llm.common import arrow_map, coded, hashed, materialize, mixed, steps, words_of
 from tessera.llm.components import components
 
 BLOCK_SETS, BLOCK_MEMBERS = 512, 150_000  # of one block
@@ -114,7 +114,7 @@ def _sets(docs: DataFrame, params: Params, lowest: bool, bits: np.ndarray | None
                 members = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), pa.array(n), pa.array([f[0] for f in prints], pa.int64()), pa.array([f[1] for f in prints], pa.int64()), members], names=["row", "id", "n", "f1", "f2", "members"])
 
-    return docs.mapInArrow(run, f"row long, id {id_type}, n long, f1 long, f2 long, members array<long>")
+    return arrow_map(docs, run, f"row long, id {id_type}, n long, f1 long, f2 long, members array<long>")
 
 
 def filter_places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -133,7 +133,7 @@ def _filter_bits(keys: DataFrame, count: int) -> np.ndarray:
             for p in filter_places(batch.column(0).to_numpy(zero_copy_only=False), bits):
                 yield pa.RecordBatch.from_arrays([pa.array(p)], names=["place"])
 
-    words = keys.mapInArrow(places, "place long").groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("ones")).toPandas()
+    words = arrow_map(keys, places, "place long").groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("ones")).toPandas()
     out = np.zeros(bits // 64, np.uint64)
     out[words["word"].to_numpy(np.int64)] = words["ones"].to_numpy(np.int64).view(np.uint64)
     return out

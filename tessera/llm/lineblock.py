@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import steps
+from tessera.llm.common import arrow_map, steps
 
 WINDOW = 3
 SURGE = 0.05  # share of the peak at which a stretch counts as text
@@ -199,5 +199,5 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html"
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["id", "url", "text", "n_chars"])
 
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
-    out = rows.mapInArrow(run, f"id {types[id_col]}, url {types[url_col]}, text string, n_chars long")
+    out = arrow_map(rows, run, f"id {types[id_col]}, url {types[url_col]}, text string, n_chars long")
     return out.toDF(id_col, url_col, "text", "n_chars")

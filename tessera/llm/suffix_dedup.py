@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, mixed, steps, text_bytes
+from tessera.llm.common import arrow_map, materialize, mixed, steps, text_bytes
 from tessera.llm.jaccard_join import _filter_bits, filter_places
 
 STEP = 2 << 20
@@ -176,7 +176,7 @@ def _scan(docs: DataFrame, params: Params) -> DataFrame:
                 bounds = pa.array(np.append(0, np.cumsum([len(g) for g in grams])).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), pa.array(np.diff(ends)), pa.array([p[0] for p in prints]), pa.array([p[1] for p in prints]), pa.array(shas), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(grams)))], names=["row", "id", "n", "f1", "f2", "sha", "grams"])
 
-    return docs.mapInArrow(run, f"row long, id {id_type}, n long, f1 long, f2 long, sha string, grams array<long>")
+    return arrow_map(docs, run, f"row long, id {id_type}, n long, f1 long, f2 long, sha string, grams array<long>")
 
 
 def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -228,7 +228,7 @@ def _occurrences(docs: DataFrame, params: Params, doc_bits: np.ndarray, gram_bit
 
     types = [pa.int64()] * 6 + [pa.binary()] * 2
     names = ["f1", "f2", "start", "stop", "h", "at", "before", "after"]
-    return docs.mapInArrow(run, "f1 long, f2 long, start long, stop long, h long, at long, before binary, after binary, hot boolean")
+    return arrow_map(docs, run, "f1 long, f2 long, start long, stop long, h long, at long, before binary, after binary, hot boolean")
 
 
 def _in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -271,7 +271,7 @@ def _grouped_stretches(rows: DataFrame, params: Params) -> DataFrame:
 
     names = ["f1", "f2", "start", "stop"]
     dealt = rows.select("h", "f1", "f2", "at", "before", "after").repartition("h").sortWithinPartitions("h")
-    return dealt.mapInArrow(run, "f1 long, f2 long, start long, stop long")
+    return arrow_map(dealt, run, "f1 long, f2 long, start long, stop long")
 
 
 def _hot_stretches(rows: DataFrame, params: Params) -> DataFrame:
@@ -355,7 +355,7 @@ def _affected(docs: DataFrame, spans: DataFrame, text_col: str) -> tuple[DataFra
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(f1), pa.array([p[1] for p in prints]), pa.array(_has(bits.value, f1))], names=[*names, "__f1", "__f2", "__maybe"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, __f1 long, __f2 long, __maybe boolean")
+    return arrow_map(docs, run, f"{fields}, __f1 long, __f2 long, __maybe boolean")
 
 
 def digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
@@ -379,7 +379,7 @@ def digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
             cols = zip(*rows, strict=True) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column("f1"), batch.column("f2"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True))], names=["f1", "f2", "gone", "runs", "kept"])
 
-    cut = texts.join(spans, ["f1", "f2"]).select("f1", "f2", "text", "spans").mapInArrow(run, "f1 long, f2 long, gone long, runs long, kept string")
+    cut = arrow_map(texts.join(spans, ["f1", "f2"]).select("f1", "f2", "text", "spans"), run, "f1 long, f2 long, gone long, runs long, kept string")
     out = marked.join(cut, ["f1", "f2"], "left")
     empty = hashlib.sha256(b"").hexdigest()
     pick = lambda copied, some, none: F.when(F.col("copied"), copied).when(F.col("gone").isNotNull(), some).otherwise(none)
@@ -411,4 +411,4 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names], names=names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return clean.unionByName(joined.mapInArrow(run, fields))
+    return clean.unionByName(arrow_map(joined, run, fields))
