@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, crf_langid, decontaminate, jaccard_join, suffix_dedup
-from tessera.llm.common import materialize, table
+from tessera.llm.common import materialize, release, scratch, table
 
 #: A text whose language is less sure than this is no text in a known language.
 LEAST_SURE = 0.5
@@ -86,8 +86,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch() as keep:
+            made = keep(materialize(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        release(docs)  # its successor is written
+        docs = made
+    return STAGES[-1][1](spark, docs, sf_dir)
