@@ -137,22 +137,90 @@ def test_suffix_dedup_edges(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in both) == [(0, 0), (0, 0), (1, 0), (1, 0), (2, 450), (2, 450)]
 
 
-def test_intervals_and_spans_by_brute_force():
+def test_maximal_groups_by_brute_force():
     r = random.Random(4)
-    for _ in range(300):
-        m = r.randint(2, 14)
-        right = ["".join(r.choice("ab") for _ in range(r.randint(0, 9))).encode() for _ in range(m)]
-        left = ["".join(r.choice("ab") for _ in range(r.randint(0, 9))).encode() for _ in range(m)]
-        side = r.randint(1, 9)
-        got = defaultdict(set)
-        for x, b, a in suffix_dedup.group_spans(right, left, side):
-            got[x] |= {(i, side - i) for i in range(max(0, side - a), min(b, side) + 1)}
-        for x in range(m):
-            want = {(i, side - i) for i in range(side + 1) for y in range(m) if y != x and i <= suffix_dedup.common(left[x], left[y]) and side - i <= suffix_dedup.common(right[x], right[y])}
-            assert got[x] == want
-        for members, b, a in suffix_dedup.maximal_repeats(right, left):
-            assert len({left[i][:b] for i in members}) == len({right[i][:a] for i in members}) == 1
-            assert len(members) == sum(right[i][:a] == right[members[0]][:a] for i in range(m))
+    for trial in range(400):
+        m, width = r.randint(2, 14), 1 + trial % 2
+        draw = lambda: b"".join(r.choice((b"a" * width, b"b" * width)) for _ in range(r.randint(0, 9)))  # noqa: E731, B023
+        right, left = [draw() for _ in range(m)], [draw() for _ in range(m)]
+        side = r.randint(0, 9)
+        both = lambda strings, who: min(suffix_dedup.common(strings[who[0]], strings[i]) for i in who) // width  # noqa: E731, B023
+        want = set()
+        for i in range(m):
+            for b in range(len(left[i]) // width + 1):
+                for a in range(len(right[i]) // width + 1):
+                    same = [j for j in range(m) if left[j][: b * width] == left[i][: b * width] and right[j][: a * width] == right[i][: a * width]]
+                    if len(same) > 1 and a + b >= side and (both(left, same), both(right, same)) == (b, a):
+                        want.add((tuple(same), b, a))
+        got = [(tuple(sorted(members)), b, a) for members, b, a in suffix_dedup.maximal_groups(right, left, side, width)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def brute_words(texts, n):
+    """Of each text, whether each word lies in a string of n words that also starts elsewhere."""
+    words, seen = [re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for t in texts], defaultdict(int)
+    for w in words:
+        for i in range(len(w) - n + 1):
+            seen[tuple(w[i : i + n])] += 1
+    out = []
+    for w in words:
+        gone = np.zeros(len(w), bool)
+        for i in range(len(w) - n + 1):
+            if seen[tuple(w[i : i + n])] > 1:
+                gone[i : i + n] = True
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_repeated_words(spark, most):
+    texts = corpus() + [base := text(70), base.upper().replace(" ", "  "), " ".join("ab" for _ in range(200)), f"{text(9)} {base} {text(9)}"]
+    docs = docs_of(spark, texts)
+    want = brute_words(texts, 51)
+    params = suffix_dedup.Params(51, most, True)
+    for r in suffix_dedup.digest(docs, passages=params).collect():
+        gone = want[r["doc_id"]]
+        assert (r["passage_words"], r["n_passages"]) == (gone.sum(), (np.diff(np.append(0, gone.astype(int))) == 1).sum()), r["doc_id"]
+    for r in suffix_dedup.remove_repeats(docs, params=(params,)).collect():
+        old, gone = texts[r["doc_id"]], want[r["doc_id"]]
+        assert r["text"] == old if not gone.any() else r["text"].split() == [w for w, g in zip(old.split(), gone, strict=True) if not g]
+
+
+def test_one_occurrence_stays(spark):
+    texts = [t for t in corpus() if t] + [f"{text(3)} {'xyz ' * 300}"]
+    texts = list(dict.fromkeys(texts))  # no copies of whole texts
+    docs = docs_of(spark, texts).withColumnsRenamed({"row": "c0", "source": "spans"})
+    for most in (20_000, 3):
+        params = suffix_dedup.Params(51, most, True)
+        kept = {r["doc_id"]: r["text"] for r in suffix_dedup.remove_repeats(docs, params=(params,), keep_first=True).collect()}
+        before, after = ({tuple(w[i : i + 5]) for t in ts for w in [lower(t).split()] for i in range(len(w) - 4)} for ts in (texts, kept.values()))
+        assert len(before - after) < 0.1 * len(before)  # but for those that hang over a cut
+        assert sum(map(len, kept.values())) < sum(map(len, texts))
+        passage = next(iter({t[-400:-100] for t in texts if "xyz" not in t and sum(t[-400:-100] in u for u in texts) > 3}), None)
+        assert passage is None or sum(passage in t for t in kept.values()) >= 1
+
+
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_repeat_groups(spark, most):
+    texts = [t for t in corpus() if t]
+    params = suffix_dedup.Params(60, most)
+    rows = suffix_dedup.repeat_groups(docs_of(spark, texts), params=params).collect()
+    groups, covered = defaultdict(set), defaultdict(set)
+    for r in rows:
+        data = texts[r["doc_id"]].encode()[r["start"] : r["stop"]]
+        groups[r["group"]].add((r["doc_id"], r["start"], data))
+        covered[r["doc_id"]] |= set(range(r["start"], r["stop"]))
+        assert len(data) == r["stop"] - r["start"] >= 60
+    for r in rows:
+        assert r["n_occurrences"] == len(groups[r["group"]]) > 1
+    for members in groups.values():  # all occurrences of the string, and no other string
+        strings = {data for _, _, data in members}
+        assert len(strings) == 1
+        string = next(iter(strings))
+        at = {(i, m.start()) for i, t in enumerate(texts) for m in re.finditer(b"(?=" + re.escape(string) + b")", t.encode())}
+        assert {(i, a) for i, a, _ in members} == at
+    for i, (_, gone, _, _) in enumerate(brute_repeats(texts, 60)):
+        assert len(covered[i]) == gone
 
 
 def test_wand_by_brute_force():
@@ -229,10 +297,14 @@ def test_pipeline_stages_by_brute_force(spark, tmp_path):
     _, tops = brute_components(kept, 5, 80)
     second = step["ngram_jaccard_join"].sort_values("doc_id")
     assert list(second["doc_id"]) == [ids[i] for i, t in enumerate(tops) if i == t]
-    want = brute_repeats(list(second["text"]), 400)
+    want, in_words = brute_repeats(list(second["text"]), 400), brute_words(list(second["text"]), 51)
+    assert any(g.any() and not w[1] for w, g in zip(want, in_words, strict=True))  # a passage of over 50 short words
     third = dict(zip(step["suffix_array_dedup"]["doc_id"], step["suffix_array_dedup"]["text"], strict=True))
-    for i, t, w in zip(second["doc_id"], second["text"], want, strict=True):
-        assert len(third.get(i, "").encode()) <= w[0] - w[1] and (w[1] or third[i] == t)
+    for i, t, w, gone in zip(second["doc_id"], second["text"], want, in_words, strict=True):
+        left = third.get(i, "")
+        assert len(left.encode()) <= w[0] - w[1] and (w[1] or gone.any() or left == t)
+        if not w[1]:
+            assert left.split() == [x for x, g in zip(t.split(), gone, strict=True) if not g]
     fourth = step["benchmark_decontamination"]
     assert set(third) - set(fourth["doc_id"]) == {len(texts) - 1}
     last = step["bpe_encoding"].set_index("doc_id")
