@@ -53,8 +53,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 @shielded
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go from the texts; documents of which nothing remains go too."""
-    out = suffix_dedup.remove_repeats(docs)
+    """Repeated strings of 400 bytes and passages of over 50 words go from the texts, every
+    occurrence of them; documents of which nothing remains go too."""
+    out = suffix_dedup.remove_repeats(docs, params=(suffix_dedup.Params(), suffix_dedup.PASSAGES))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).filter(F.trim("text") != "").select(*docs.columns)
 
 
