@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from tessera.llm.common import arrow_map, steps, text_bytes
 
 #: Bytes that the fragments a task remembers may take, about; only speed depends on it.
-REMEMBERED = 24 << 20
+REMEMBERED = 16 << 20
 EACH = 400  # bytes of one remembered fragment beside its own, its ids and its decoded bytes
 STEP = 1 << 20
 
@@ -131,8 +132,9 @@ class ForcedBoundaryBPE:
         return total[ends[1:]] - total[ends[:-1]], lists(1, b","), lists(2, b"")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def coder(path: str) -> ForcedBoundaryBPE:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
     return ForcedBoundaryBPE(path)
 
 

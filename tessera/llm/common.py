@@ -27,6 +27,8 @@ _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Rows of an Arrow batch at most: texts are long, and both the JVM and the worker hold whole batches.
+BATCH_ROWS = 2_000
 #: Breaks words at every ASCII character that is no letter or digit.
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -114,11 +116,15 @@ def _give_back() -> None:
 
 
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` whose tasks give back what they have freed.
+    """``mapInArrow`` whose tasks give back what they have freed, with batches of ``BATCH_ROWS`` rows.
 
     Spark uses a Python worker again for the tasks of later stages; what it would hold
-    on to adds up beside the executor's heap.
+    on to adds up beside the executor's heap.  The session's setting of the rows of a
+    batch is lowered, never raised.
     """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
     @wraps(run)
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
