@@ -32,8 +32,8 @@ from tessera.llm.common import arrow_map, steps, text_bytes
 @dataclass(frozen=True)
 class AudioParams:
     rate: int = 16_000
-    up: int = 1
-    down: int = 2
+    up: int = 3
+    down: int = 4
     taps: int = 16  # filter taps of each phase
     frame: int = 256
     hop: int = 128
@@ -45,8 +45,10 @@ class AudioParams:
 
 
 def wav_bytes(payload: bytes, rate: int) -> bytes:
-    """8-bit mono PCM; any byte is a valid sample."""
+    """8-bit mono PCM; any byte is a valid sample.  WAV counts its bytes in 32 bits."""
     n = len(payload)
+    if n + n % 2 + 36 >= 1 << 32:
+        raise ValueError(f"{n} bytes are more than a WAV file can hold")
     return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + n + n % 2, b"WAVE", b"fmt ", 16, 1, 1, rate, rate, 1, 8, b"data", n) + payload + b"\0" * (n % 2)
 
 
@@ -147,9 +149,11 @@ def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pa
     """Each text's UTF-8 bytes as a WAV recording: ``id_col``, n_bytes, media.
 
     Zero bytes are appended up to a positive multiple of 64, so null and empty texts
-    (n_bytes 0) become 64 zero samples.  Repeated texts give equal media.  An empty
-    table gives no rows; other columns are not read.
+    (n_bytes 0) become 64 zero samples.  Repeated texts give equal media.  A very long
+    text is one long recording; one that WAV can't hold (4 GB) raises.  An empty table
+    gives no rows; other columns, whatever their names, are not read.
     """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "text"):
@@ -170,7 +174,9 @@ def features(media: DataFrame, *, id_col: str = "doc_id", keep: list[str] | None
 
     Returns ``id_col``, the columns of ``keep``, payload (bytes read back), n_frames,
     tensors (Arrow IPC stream), segments (array of start_s, end_s) and mel_mean (array).
-    Null media give null features.  Equal media give equal values.
+    Null media give null features.  Equal media give equal values, so repeated rows give
+    repeated results; an empty table gives none.  The frames of a very long recording are
+    worked on in blocks.  Columns that aren't kept are not read.
     """
     keep = keep or []
     types = {f.name: f.dataType.simpleString() for f in media.schema.fields}
@@ -201,11 +207,19 @@ def features(media: DataFrame, *, id_col: str = "doc_id", keep: list[str] | None
 
 
 def digest(found: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """The digest columns of op2, from the columns of ``features(keep=["n_bytes", "media"])``."""
+    """The digest columns of op2, from the columns of ``features(keep=["n_bytes", "media"])``.
+
+    feature tells of frames, segments and mean log-mel values and holds the beginning of
+    tensors_sha256, the hash of the stored tensors with their time spans; segments has
+    the start and end of each segment in milliseconds.
+    """
     tail = F.expr("substring(payload, greatest(length(payload) - 63, 1), 64)")
     means = F.array_join(F.transform("mel_mean", lambda x: F.format_number(x, 2)), ",")
+    spans = F.array_join(F.transform("segments", lambda s: F.format_string("%.0f-%.0f", s["start_s"] * 1000, s["end_s"] * 1000)), ",")
+    hashed = F.sha2("tensors", 256)
     return found.select(
         id_col, "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(tail).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws("|", F.concat(F.lit("frames="), "n_frames"), F.concat(F.lit("segments="), F.size("segments")), F.concat(F.lit("mel="), means)).alias("feature"),
+        F.concat_ws("|", F.concat(F.lit("frames="), "n_frames"), F.concat(F.lit("segments="), F.size("segments")), F.concat(F.lit("mel="), means), F.concat(F.lit("tensors="), F.substring(hashed, 1, 16))).alias("feature"),
+        hashed.alias("tensors_sha256"), spans.alias("segments"),
     )

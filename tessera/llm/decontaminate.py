@@ -2,8 +2,8 @@
 
 The items are indexed with impacts divided by the item's own full score, so one
 threshold holds for all: a passage that contains a whole item scores 1 for it.  Every
-document is read as passages of 2 L words, L words apart, where L is the longest item:
-each occurrence of an item lies whole inside a passage.  A passage is a query.
+document is read as passages of 2 L words, L words apart, where L is the longest item
+of the whole set: each occurrence of an item lies whole inside a passage.  A passage is a query.
 
 Two exact bounds come before the search.  Each item's commonest terms, up to a share of
 the threshold, are non-essential: without a term of the rest no passage can reach the
@@ -78,14 +78,14 @@ def overlap(part: list[bytes], passage: list[bytes], n: int) -> float:
 class BlockMaxIndex:
     """Postings in item order, cut into blocks that know their largest impact."""
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[bytes, int], n_items: int, mean_words: float, params: Params = Params()):
+    def __init__(self, items: list[tuple[int, str]], df: dict[bytes, int], n_items: int, mean_words: float, params: Params = Params(), longest: int = 0):
         self.params = params
         self.ids = [i for i, _ in items]
         self.parts = [question_answer(t) for _, t in items]
         postings: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
         essential: dict[bytes, list[int]] = defaultdict(list)
         self.spared = np.zeros(len(items))  # weight of each item's non-essential terms
-        self.longest = 0
+        self.longest = longest  # words of the longest item, which may be in another slice
         for at, (_, text) in enumerate(items):
             w = words(text)
             self.longest = max(self.longest, len(w))
@@ -190,12 +190,12 @@ def _passages(index: BlockMaxIndex, texts: pa.Array) -> Iterator[tuple[int, int,
                 yield x, y * stride, k, score, q, a
 
 
-def _index(benchmark: DataFrame, part: int, parts: int, df: DataFrame, n_items: int, mean_words: float, params: Params) -> BlockMaxIndex:
+def _index(benchmark: DataFrame, part: int, parts: int, df: DataFrame, n_items: int, mean_words: float, longest: int, params: Params) -> BlockMaxIndex:
     items = benchmark.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
     own = items.select(F.explode("words").alias("word")).distinct()
     counts = {bytes(r["word"].encode()): r["df"] for r in df.join(own, "word", "left_semi").collect()}
     rows = [(r["item"], r["text"]) for r in items.select("item", "text").orderBy("item", "text").collect()]
-    return BlockMaxIndex(rows, counts, n_items, mean_words, params)
+    return BlockMaxIndex(rows, counts, n_items, mean_words, params, longest)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", params: Params = Params()) -> DataFrame:
@@ -204,21 +204,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
 
     Null and empty texts, and items without words, match nothing; an empty benchmark or
     table gives no rows.  Very long texts are searched whole.  Of passages with the same
-    best score the first counts.  Repeated rows of one id and text give one row; other
-    columns are not read.
+    best score the first counts.  Rows of one id are one document: their passages count
+    together, repeated rows too; a null id is an id.  Other columns, whatever their
+    names, are not read.  The slices of a large index change no row.
     """
     types = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     lower = F.translate(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     split = F.filter(F.split(lower, "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), lambda w: w != "")
     items = benchmark.select(benchmark[item_col].alias("item"), benchmark[item_text_col].alias("text")).filter("item is not null and text is not null").distinct().withColumn("words", split).filter(F.size("words") > 0)
-    sizes = items.agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("words")).first()
-    n_items, total = sizes["n"], sizes["words"] or 0
+    sizes = items.agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("words"), F.max(F.size("words")).alias("longest")).first()
+    n_items, total, longest = sizes["n"], sizes["words"] or 0, sizes["longest"] or 0
     parts = max(1, -(-total // INDEX_WORDS))
     df = items.select("item", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).filter("text is not null")
     found = None
     for part in range(parts if n_items else 1):
-        shared = docs.sparkSession.sparkContext.broadcast(_index(items, part, parts, df, n_items, total / max(1, n_items), params))
+        shared = docs.sparkSession.sparkContext.broadcast(_index(items, part, parts, df, n_items, total / max(1, n_items), longest, params))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value

@@ -7,8 +7,10 @@ kl / k quantile of the bytes, kl = k // 2), until every leaf has the target byte
 The medians are found distributedly: all nodes of a level sum their bytes by 1,024 bins
 of the key range, and only the bin that holds the quantile is refined, until a cut is
 within ``TOLERANCE`` of its target.  The driver sees at most shards x 1,024 sums a pass.
-Documents of equal text share their coordinates and stay in one shard, unless a group
-is larger than ``WHOLE`` of a shard: then a cut may fall inside it.
+Documents of equal text share their coordinates and stay in one shard.  Only a group
+with more bytes than a whole shard's share is dealt into parts, and cuts may divide it.
+Where such a group keeps the widest dimension's cut over ``BALANCED`` off its target, the
+other dimensions are tried too and the nearest cut is taken.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from tessera.llm.common import materialize, release
 OVERHEAD = 16  # bytes of a row beside its text
 BINS = 1024
 SUBS = 1024  # parts that a large group of equal texts is dealt into
-WHOLE = 0.01
 TOLERANCE = 0.0005  # of a shard's bytes
+BALANCED = 0.02  # of a shard's bytes
 DIMENSIONS = ("size_at", "source_at", "lang_at")
 
 
@@ -48,15 +50,17 @@ def _place(node: Node) -> Column:
 
 def _split_level(items: DataFrame, root: Node, todo: list[Node], widths: dict[str, int], goal: float) -> None:
     placed = items.withColumn("node", _place(root))
-    ends = placed.groupBy("node").agg(F.sum("bytes").alias("bytes"), *[f(d).alias(f"{d}_{f.__name__}") for d in DIMENSIONS for f in (F.min, F.max)])
+    found = placed.groupBy("node").agg(F.sum("bytes").alias("bytes"), *[f(d).alias(f"{d}_{f.__name__}") for d in DIMENSIONS for f in (F.min, F.max)])
     state, wanted = {}, {n.first for n in todo}
-    for r in ends.collect():
+    for r in found.collect():
         if r["node"] not in wanted:
             continue
         # the upper bits of a key are the coordinate; its lower ones only break ties
         spread = {d: ((r[f"{d}_max"] >> 31) - (r[f"{d}_min"] >> 31)) / max(1, widths[d]) for d in DIMENSIONS}
-        d = max(DIMENSIONS, key=lambda x: spread[x])
-        state[r["node"]] = {"d": d, "lo": r[f"{d}_min"], "hi": r[f"{d}_max"], "bytes": r["bytes"], "below": 0}
+        others = sorted(DIMENSIONS, key=lambda x: -spread[x])
+        ends = {d: (r[f"{d}_min"], r[f"{d}_max"]) for d in DIMENSIONS}
+        d = others.pop(0)
+        state[r["node"]] = {"d": d, "lo": ends[d][0], "hi": ends[d][1], "bytes": r["bytes"], "below": 0, "others": others, "ends": ends, "cuts": []}
     for n in todo:
         if n.first not in state:  # no rows: any cut will do
             state[n.first] = {"d": DIMENSIONS[0], "lo": 0, "hi": 0, "bytes": 0, "below": 0, "cut": 0}
@@ -85,7 +89,12 @@ def _split_level(items: DataFrame, root: Node, todo: list[Node], widths: dict[st
             # candidates: before and after bin b; finer if both are off and the bin can be divided
             before, after = s["want"] - below, below + sums[k][b] - s["want"]
             if min(before, after) <= TOLERANCE * goal or s["width"] == 1:
-                s["cut"] = s["lo"] + s["width"] * (b + (after < before))
+                s["cuts"].append((min(before, after), s["d"], s["lo"] + s["width"] * (b + (after < before))))
+                if min(before, after) > BALANCED * goal and s["others"]:
+                    s["d"], s["below"] = s["others"].pop(0), 0
+                    s["lo"], s["hi"] = s["ends"][s["d"]]
+                else:
+                    _, s["d"], s["cut"] = min(s["cuts"], key=lambda x: x[0])  # of equal ones the widest dimension's
             else:
                 s["below"], s["lo"] = below, s["lo"] + s["width"] * b
                 s["hi"] = s["lo"] + s["width"] - 1
@@ -114,7 +123,9 @@ def shard(docs: DataFrame, *, shards: int = 40, id_col: str = "doc_id", text_col
     by id within buckets of rows.  Null and empty texts have size 16 and count as equal;
     null source or language is a coordinate of its own.  Repeated rows are kept, each in
     a slot of its own.  Very long texts weigh what they weigh: a row is never divided.
-    An empty table gives no rows.  Other columns are not read.
+    Equal texts share a shard unless together they exceed a shard's share of the bytes.
+    Ties of a coordinate are ordered by a hash of the text.  An empty table gives no
+    rows.  Other columns, whatever their names, are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     named = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.shiftright(F.crc32(F.col(c)), 1))
@@ -125,7 +136,7 @@ def shard(docs: DataFrame, *, shards: int = 40, id_col: str = "doc_id", text_col
     group = ["hash", "crc", "size"]
     parts = meta.groupBy(*group, "sub").agg(F.sum("size").alias("bytes"), F.min("source").alias("source"), F.min("lang").alias("lang"))
     whole = parts.groupBy(*group).agg(F.sum("bytes").alias("all_bytes"), F.min("source").alias("source"), F.min("lang").alias("lang"))
-    most = (meta.agg(F.sum("size")).first()[0] or 0) * WHOLE / shards
+    most = (meta.agg(F.sum("size")).first()[0] or 0) / shards
     items = parts.drop("source", "lang").join(whole, group)
     # 62-bit keys: 31 bits of coordinate, 20 of the text's hash, 11 of the part of a large group
     tie = F.expr("shiftright(hash, 44) & 1048575") * 2048 + F.when(F.col("all_bytes") > most, F.col("sub")).otherwise(0)

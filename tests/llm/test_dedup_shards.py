@@ -256,9 +256,16 @@ def test_leaks(spark, monkeypatch):
     texts += [None, "", items[4], items[4]]
     want |= {(62, 4), (63, 4)}
     docs = docs_of(spark, texts)
+    found = []
     for words in (decontaminate.INDEX_WORDS, 300):  # one slice of the index, or several
         monkeypatch.setattr(decontaminate, "INDEX_WORDS", words)
-        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()} == want
+        found.append(sorted(map(tuple, decontaminate.leaks(docs, bench).collect())))
+        assert {r[:2] for r in found[-1]} == want
+    assert found[0] == found[1]  # whole rows
+    long = f"{text(30_000)} {items[7]} {text(30_000)}"
+    more = spark.createDataFrame([(None, items[5], "x"), (1, long, "x"), (1, long, "x"), (2, None, None)], "doc_id long, text string, item_id string")
+    rows = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(more, bench).collect()}
+    assert set(rows) == {(None, 5), (1, 7)} and rows[1, 7]["first_word"] > 29_000
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), bench).count() == 0
 
 
@@ -277,6 +284,47 @@ def test_sharding(spark):
     assert sorted(r["slot"] for r in kdshard.shard(docs_of(spark, [None]).union(docs_of(spark, [None])), shards=1).collect()) == [0, 1]
 
 
+def test_sharding_tree_by_brute_force(spark):
+    r, shards = random.Random(9), 11
+    rows = [(r.randint(1, 300), *((r.randint(0, top) << 31) + r.getrandbits(31) for top in (1000, 3, 40))) for _ in range(600)]
+    items = spark.createDataFrame(rows, "bytes long, size_at long, source_at long, lang_at long")
+    names = ["bytes", *kdshard.DIMENSIONS]
+    widths = [max(x[k] >> 31 for x in rows) - min(x[k] >> 31 for x in rows) for k in (1, 2, 3)]
+    goal = sum(x[0] for x in rows) / shards
+    leaves = []
+
+    def check(node, rows):
+        if node.left is None:
+            return leaves.append(node.first)
+        spread = [(max(x[k] >> 31 for x in rows) - min(x[k] >> 31 for x in rows)) / widths[k - 1] for k in (1, 2, 3)]
+        k = names.index(node.dimension)
+        want = sum(x[0] for x in rows) * (node.leaves // 2) / node.leaves
+        below = np.append(0, np.cumsum([x[0] for x in sorted(rows, key=lambda x: x[k])]))
+        left = [x for x in rows if x[k] < node.cut]
+        assert abs(sum(x[0] for x in left) - want) <= max(np.abs(below - want).min(), kdshard.TOLERANCE * goal)  # its weighted median
+        off = {j: np.abs(np.append(0, np.cumsum([x[0] for x in sorted(rows, key=lambda x: x[j])])) - want).min() for j in (1, 2, 3)}
+        assert spread[k - 1] == max(spread) or off[1 + int(np.argmax(spread))] > kdshard.BALANCED * goal  # the widest dimension
+        check(node.left, left)
+        check(node.right, [x for x in rows if x[k] >= node.cut])
+
+    check(kdshard.grow_tree(items, shards), rows)
+    assert leaves == list(range(shards))
+
+
+def test_sharding_keeps_equal_texts_together(spark):
+    texts = ["same text " * 9] * 60 + ["another one " * 8] * 40 + [text(rng.randint(5, 60)) for _ in range(400)] + [None, "", None]
+    docs = spark.createDataFrame([(i % 450, t, None if i % 5 == 0 else "en", None if i % 7 == 0 else f"s{i % 3}", i, i) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, shard long, hash long")
+    out = kdshard.shard(docs, shards=6).toPandas()
+    assert len(out) == len(texts)
+    share = out["size"].sum() / 6
+    groups = out.groupby("text_crc32").agg({"size": "sum", "shard": "nunique"})
+    assert groups["size"].max() < share and (groups["shard"] == 1).all()
+    alone = kdshard.shard(docs_of(spark, ["same text"] * 900 + texts[-90:]), shards=6).toPandas()
+    same = alone[alone["text_crc32"] == alone["text_crc32"].mode()[0]]
+    assert same["size"].sum() > alone["size"].sum() / 6 and same["shard"].nunique() > 1  # more than a shard's share
+    assert alone.groupby("shard")["size"].sum().max() < 1.2 * alone["size"].sum() / 6
+
+
 def test_pipeline_stages_by_brute_force(spark, tmp_path):
     texts = corpus() + ["123 456 --- 789"]
     items = [text(30) + ".\n" + text(8) for _ in range(4)]

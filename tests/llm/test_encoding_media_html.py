@@ -71,6 +71,53 @@ def test_resampling_keeps_a_tone(up, down):
     assert abs(spectrum.argmax() * (16000 * up / down) / (8000 * up // down) - 440) < 3
 
 
+@pytest.mark.parametrize(("up", "down"), [(3, 4), (2, 3), (5, 2)])
+def test_resampling_by_convolution(up, down):
+    x = np.random.default_rng(3).normal(size=301).astype(np.float32)
+    taps = 16
+    h = audio.phase_filters(up, down, taps)[:, ::-1].T.ravel()  # one long filter again
+    stuffed = np.zeros(len(x) * up)
+    stuffed[::up] = x
+    full = np.concatenate([np.convolve(stuffed, h), np.zeros(taps * up)])
+    want = full[np.arange(-(-len(x) * up // down)) * down + taps // 2 * up]
+    assert np.allclose(audio.resample(x, up, down, taps), want, atol=1e-4)
+
+
+@pytest.mark.parametrize("n", [64, 1000, 20_000])
+def test_tensors_by_naive_transform(n):
+    p = audio.AudioParams(block=7)
+    x = np.random.default_rng(n).normal(size=n).astype(np.float32)
+    mel, energy = audio.log_mel(x, 12_000, p)
+    frames = 1 + max(0, -(-(n - p.frame) // p.hop))
+    padded = np.concatenate([x, np.zeros(p.frame)])
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(p.frame) / (p.frame - 1))
+    wave = np.exp(-2j * np.pi * np.outer(np.arange(p.frame // 2 + 1), np.arange(p.frame)) / p.frame)
+    at = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(0, 2595 * np.log10(1 + 6000 / 700), p.mels + 2)]
+    assert mel.shape == (frames, p.mels)
+    for f in {0, frames // 2, frames - 1}:
+        part = padded[f * p.hop : f * p.hop + p.frame]
+        power = np.abs(wave @ (part * window)) ** 2
+        for k in range(p.mels):
+            lo, mid, hi = at[k : k + 3]
+            hz = np.arange(p.frame // 2 + 1) * 12_000 / p.frame
+            weight = np.clip(np.minimum((hz - lo) / (mid - lo), (hi - hz) / (hi - mid)), 0, None)
+            assert np.isclose(mel[f, k], np.log(weight @ power + 1e-6), atol=1e-3)
+        assert np.isclose(energy[f], 10 * np.log10(np.mean(part**2) + 1e-10), atol=1e-3)
+    back = audio.read_tensors(audio.tensor_stream(mel, 1 / 12_000, p))
+    values = np.concatenate([np.array(t.as_py()).reshape(p.tensor_frames, p.mels) for c in back["log_mel"].chunks for t in c.storage])
+    assert np.array_equal(values[:frames].astype(np.float32), mel) and not values[frames:].any()
+    assert back["start_s"].to_pylist() == pytest.approx([k * p.tensor_frames * p.hop / 12_000 for k in range(back.num_rows)])
+
+
+def test_audio_of_long_and_repeated_media(spark):
+    long = "né, " * 400_000
+    rows = audio.features(audio.store(frame(spark, [long, long, None])), keep=["n_bytes", "media"])
+    a, b, c = audio.digest(rows).orderBy("doc_id").collect()
+    assert a[1:] == b[1:] and a["n_bytes"] == len(long.encode()) and a["tensors_sha256"] != c["tensors_sha256"]
+    with pytest.raises(ValueError):
+        audio.wav_bytes(type("Long", (bytes,), {"__len__": lambda self: 1 << 32})(), 8000)
+
+
 def test_hysteresis():
     assert audio.hysteresis(np.array([0, 1, 2, 3, 1, 0, 1, 1, 0, 3.0]), 1, 3) == [(1, 5), (9, 10)]
 
