@@ -28,7 +28,7 @@ _UPPER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Rows of an Arrow batch at most: texts are long, and both the JVM and the worker hold whole batches.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 1_000
 #: Breaks words at every ASCII character that is no letter or digit.
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
