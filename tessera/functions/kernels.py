@@ -44,6 +44,7 @@ kernel("uppercase")(lambda a: F.translate(a, LOWER, UPPER))  # ASCII only, unlik
 kernel("increment")(lambda a, by=1: a + by)
 kernel("scale")(lambda a, factor: a * factor)
 kernel("loop_accumulate")(lambda out, i, loop: out + i * (loop * loop))  # loop * loop additions of i
+kernel("loop_sum")(lambda start, x, loop: start + x * (loop * (loop - 1) // 2))  # adds k * x for k = 0 .. loop - 1
 kernel("identity")(lambda a: a)
 kernel("crc32")(lambda a: F.crc32(a))
 
@@ -61,6 +62,16 @@ def select_kernel(size: Column, limit: int, small: Column, large: Column) -> Col
     return F.when(size > limit, large).otherwise(small)
 
 
+def host_task(df: DataFrame, step: Callable) -> DataFrame:
+    """Host code over batches of rows (pandas frames of the same columns)."""
+    return df.mapInPandas(lambda batches: map(step, batches), df.schema)
+
+
+def strided(i: Column, offset: int, extent: int, stride: int = 1) -> Column:
+    """Every ``stride``-th index of [offset, offset + extent)."""
+    return index_range(i, offset, extent) & ((i - offset) % stride == 0)
+
+
 def index_range(i: Column, offset: int, size: int | None = None) -> Column:
     """Rows of [offset, offset + size)."""
     return i >= offset if size is None else (i >= offset) & (i < offset + size)

@@ -13,10 +13,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 
 from tessera.lineage import cut_lineage
+from tessera.operators.ranges import carried, with_range
 
 
 def _by_mem() -> WindowSpec:
-    return W.partitionBy("mem_id").orderBy("seq", "task_id")
+    """Within a range of a buffer's accesses."""
+    return W.partitionBy("mem_id", "range").orderBy("seq", "task_id")
 
 
 def _writes() -> Column:
@@ -25,8 +27,12 @@ def _writes() -> Column:
 
 def with_epochs(access: DataFrame) -> DataFrame:
     """Adds epoch (writes of the buffer so far) and last_writer (task of the latest one)."""
+    own = F.when(_writes(), F.col("task_id"))
+    added = {"writes": F.count(own), "writer": F.max_by("task_id", F.when(_writes(), F.struct("seq", "task_id")))}
+    rows = carried(with_range(access, "seq"), ["mem_id"], added, {"writes_before": F.sum("writes"), "writer_before": F.last("writer", ignorenulls=True)})
     before = _by_mem().rowsBetween(W.unboundedPreceding, -1)
-    return access.withColumns({"epoch": F.coalesce(F.sum(F.when(_writes(), 1).otherwise(0)).over(before), F.lit(0)), "last_writer": F.last(F.when(_writes(), F.col("task_id")), ignorenulls=True).over(before)})
+    epoch = F.coalesce("writes_before", F.lit(0)) + F.count(own).over(before)
+    return rows.withColumns({"epoch": epoch, "last_writer": F.coalesce(F.last(own, ignorenulls=True).over(before), "writer_before")}).drop("range", "writes_before", "writer_before")
 
 
 def auto_dependencies(access: DataFrame) -> DataFrame:
@@ -56,10 +62,11 @@ def shadow_versions(access: DataFrame) -> DataFrame:
 def inputs_outputs(access: DataFrame, is_reset: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Input and output buffers of tasks.  The first use of a buffer in ``is_reset``
     (mem_id) is no input: it was initialised there."""
-    nth = F.row_number().over(_by_mem())
-    log = access.withColumn("nth", nth)
+    log = access
     if is_reset is not None:
-        log = log.join(is_reset.select("mem_id", F.lit(True).alias("reset")).distinct(), "mem_id", "left").filter(~(F.coalesce("reset", F.lit(False)) & (F.col("nth") == 1)) | (F.col("mode") == "w"))
+        first = access.groupBy("mem_id").agg(F.min(F.struct("seq", "task_id")).alias("first"))
+        first = first.join(is_reset.select("mem_id").distinct(), "mem_id", "left_semi")
+        log = access.join(first, "mem_id", "left").filter(F.col("first").isNull() | (F.struct("seq", "task_id") != F.col("first")) | (F.col("mode") == "w"))
     ins = log.filter(F.col("mode").isin("r", "rw")).select("task_id", "mem_id").distinct()
     outs = access.filter(_writes()).select("task_id", "mem_id").distinct()
     return ins, outs
@@ -81,22 +88,44 @@ def adjacency(task: DataFrame, dep: DataFrame) -> DataFrame:
 def levels(task: DataFrame, dep: DataFrame) -> DataFrame:
     """task_id, level: length of the longest path to a task.
 
-    Tasks whose dependencies are all placed get the next level, so there is a round for
-    each level of the graph and each task is placed once.  A cycle raises.
+    Chains - a task with one dependency, which nothing else depends on - are first
+    contracted to their heads by pointer doubling, in as many rounds as the longest has
+    binary digits.  Then heads whose dependencies are all placed are placed, a round for
+    each step of the longest path of chains.  A cycle raises.
     """
-    todo, placed, level = task.select("task_id").distinct(), None, 0
-    edges = dep.select("task_id", "dep_id").distinct()
+    edges = cut_lineage(dep.join(task.select(F.col("task_id").alias("dep_id")), "dep_id", "left_semi").select("task_id", "dep_id").distinct())
+    only = lambda by: edges.groupBy(by).count().filter("count = 1").select(by)
+    links = edges.join(only("task_id"), "task_id", "left_semi").join(only("dep_id"), "dep_id", "left_semi")
+    at = task.select("task_id").distinct().join(links, "task_id", "left").select("task_id", F.coalesce("dep_id", "task_id").alias("head"), F.when(F.col("dep_id").isNull(), 0).otherwise(1).cast("long").alias("far"))
+    at = cut_lineage(at)
+    todo, n = at.filter("far > 0").count(), at.count()
+    while todo:
+        up = at.select(F.col("task_id").alias("head"), F.col("head").alias("top"), F.col("far").alias("more"))
+        at = cut_lineage(at.join(up, "head").select("task_id", F.col("top").alias("head"), (F.col("far") + F.col("more")).alias("far")), at)
+        far = at.agg(F.max("far")).first()[0]
+        if far >= n:
+            raise ValueError("the dependencies have a cycle")
+        # a pointer that still moves leads to a task that is no head
+        todo = at.filter("task_id <> head").select(F.col("head").alias("task_id")).distinct().join(at.filter("far > 0").select("task_id"), "task_id", "left_semi").limit(1).count()
+    of = at.select(F.col("task_id").alias("dep_id"), F.col("head").alias("up"), (F.col("far") + 1).alias("weight"))
+    heads = at.filter("far = 0").select("task_id")
+    steps = edges.join(heads, "task_id", "left_semi").join(of, "dep_id").groupBy("task_id", "up").agg(F.max("weight").alias("weight"))
+    steps, heads, placed = cut_lineage(steps), cut_lineage(heads.withColumn("level", F.lit(0).cast("long"))), None
     while True:
-        ready = cut_lineage(todo.join(edges, "task_id", "left_anti").withColumn("level", F.lit(level)))
+        ready = cut_lineage(heads.join(steps, "task_id", "left_anti"))
         if ready.limit(1).count() == 0:
-            if todo.limit(1).count():
+            if heads.limit(1).count():
                 raise ValueError("the dependencies have a cycle")
-            return placed if placed is not None else ready
+            break
         placed = ready if placed is None else placed.unionByName(ready)
-        done = ready.select("task_id")
-        todo = cut_lineage(todo.join(done, "task_id", "left_anti"))
-        edges = cut_lineage(edges.join(done.withColumnRenamed("task_id", "dep_id"), "dep_id", "left_anti"))
-        level += 1
+        reached = steps.join(ready.select(F.col("task_id").alias("up"), "level"), "up")
+        reached = reached.groupBy("task_id").agg(F.max(F.col("level") + F.col("weight")).alias("reached"))
+        waiting = heads.join(ready.select("task_id"), "task_id", "left_anti").join(reached, "task_id", "left")
+        heads, then = cut_lineage(waiting.select("task_id", F.greatest("level", F.coalesce("reached", "level")).alias("level")), heads), steps.join(ready.select(F.col("task_id").alias("up")), "up", "left_anti")
+        steps = cut_lineage(then, steps)
+    if placed is None:
+        return at.select("task_id", F.lit(0).alias("level"))
+    return at.join(placed.withColumnRenamed("task_id", "head"), "head").select("task_id", (F.col("level") + F.col("far")).cast("int").alias("level"))
 
 
 def parallelism(levelled: DataFrame) -> DataFrame:

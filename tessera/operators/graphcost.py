@@ -46,10 +46,10 @@ def object_costs(mem: DataFrame, costs: DataFrame) -> DataFrame:
 
 
 def schedule(trace: DataFrame) -> DataFrame:
+    """When and where each task ran, in order."""
     return trace.select("task_id", "devno", "start", "end").orderBy("start", "task_id")
 
 
-def membership_matrix(access: DataFrame, mems: list[int]) -> DataFrame:
-    """A row of 0/1 flags of the given buffers for each task."""
-    seen = access.groupBy("task_id").agg(F.collect_set("mem_id").alias("mems"))
-    return seen.select("task_id", F.transform(F.array(*[F.lit(m).cast("long") for m in mems]), lambda m: F.array_contains("mems", m).cast("int")).alias("flags"))
+def membership_matrix(access: DataFrame) -> DataFrame:
+    """task_id, mem_id, flag (1): the cells of the matrix of tasks and buffers that aren't 0."""
+    return access.select("task_id", "mem_id").distinct().withColumn("flag", F.lit(1))

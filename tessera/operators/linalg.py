@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,6 +19,14 @@ def gemm(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
 
 
+def gram(df: DataFrame, values: str) -> DataFrame:
+    """The transposed matrix times itself, from a row of an array column for each row of
+    the matrix: outer products within each row, summed in the task before the shuffle."""
+    left = df.select(values, F.posexplode(values).alias("i", "x"))
+    pairs = left.select("i", "x", F.posexplode(values).alias("j", "y"))
+    return pairs.groupBy(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+
+
 def blocked_gemm(a: DataFrame, b: DataFrame, tile: int) -> DataFrame:
     """The product by tiles: each side is gathered into tiles of ``tile`` squared numbers,
     tiles are joined on the inner tile index, and only tile products are summed.  The
@@ -52,37 +62,42 @@ def tile_count(n: Column, tile: int) -> Column:
 
 
 def tile_order(ti: Column, tj: Column, order: str) -> list[Column]:
-    """Sort keys of the three ways to walk over tiles."""
-    if order == "row":
-        return [ti, tj]
-    if order == "column":
-        return [tj, ti]
-    if order == "right_down":  # shell by shell: along the row, then down the column
-        shell = F.least(ti, tj)
-        return [shell, F.when(ti == shell, 0).otherwise(1), ti + tj]
-    raise ValueError(order)
+    """Sort keys of the ways to walk over tiles: by rows, by columns, or along the border
+    of growing squares (the row's part first, then the column's)."""
+    border = F.greatest(ti, tj)
+    return {"row": [ti, tj], "column": [tj, ti], "square": [border, (ti == border).cast("int"), ti + tj]}[order]
+
+
+def grid_of(n: int) -> tuple[int, int]:
+    """The rows and columns of the squarest full grid of n devices."""
+    rows = max(p for p in range(1, math.isqrt(n) + 1) if n % p == 0)
+    return rows, n // rows
 
 
 def block_cyclic(row: Column, col: Column, n_devices: int) -> Column:
-    """Device of a tile: a grid of devices that is laid over the tiles again and again.
-
-    The grid: 2 columns row by row for 6 and 8 devices; for other odd numbers but 9 a
-    Latin square whose rows are shifted by half; else numbered in square shells (0 at the
-    corner, then down to the diagonal and back), on a side of the square root for 4 and 9
-    devices and of n otherwise.  A negative place has no device of its own (null).
-    """
-    n = n_devices
-    if n == 1:
-        device = F.lit(0)
-    elif n in (6, 8):
-        device = (row % (n // 2)) * 2 + col % 2
-    elif n % 2 and n != 9:
-        device = ((n - (row % n) * ((n + 1) // 2) % n) % n + col % n) % n
-    else:
-        side = {4: 2, 9: 3}.get(n, n)
-        r, c = row % side, col % side
-        device = F.when(c >= r, c * c + r).otherwise(r * (r + 2) - c) % n
-    return F.when((row >= 0) & (col >= 0), device).cast("int")
+    """Device of a tile: a near-square grid of devices, numbered by rows, is laid over the
+    tiles again and again.  A negative place has no device of its own (null)."""
+    p, q = grid_of(n_devices)
+    return F.when((row >= 0) & (col >= 0), (row % p) * q + col % q).cast("int")
+
+
+def write_tiles(a: DataFrame, tile: int, path: str) -> None:
+    """Write the cells i, j, v as a folder for each tile row, whose files hold whole tiles."""
+    (ti, r), (tj, c) = flat_to_tiled(F.col("i"), tile), flat_to_tiled(F.col("j"), tile)
+    cells = a.select(ti.alias("ti"), tj.alias("tj"), r.alias("r"), c.alias("c"), "v")
+    cells.repartition("ti", "tj").sortWithinPartitions("ti", "tj", "r", "c").write.partitionBy("ti").parquet(path)
+
+
+def read_tiles(spark: SparkSession, path: str, tile: int) -> DataFrame:
+    """i, j, v of what ``write_tiles`` wrote."""
+    cells = spark.read.parquet(path)
+    return cells.select(tiled_to_flat(F.col("ti").cast("long"), F.col("r"), tile).alias("i"), tiled_to_flat(F.col("tj"), F.col("c"), tile).alias("j"), "v")
+
+
+def print_rows(a: DataFrame, digits: int = 3) -> DataFrame:
+    """i, line: the numbers of each row in order, as text; each row is a line of its own."""
+    cells = F.array_sort(F.collect_list(F.struct("j", F.col("v").cast("double").alias("v"))))
+    return a.groupBy("i").agg(F.array_join(F.transform(cells, lambda x: F.format_string(f"%.{digits}f", x["v"])), " ").alias("line"))
 
 
 def mismatches(a: DataFrame, b: DataFrame, tolerance: float = 0.0) -> DataFrame:

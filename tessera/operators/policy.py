@@ -7,36 +7,18 @@ lowest device; a task that no device supports goes to the default device.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.operators.linalg import block_cyclic
+from tessera.operators.ranges import with_range
 
 DEFAULT_DEVICE = 0
 #: Bits of device types.
 DEVICE_TYPES = {"cpu": 1, "nvidia": 2, "amd": 4, "fpga": 8, "dsp": 16}
 GPU = DEVICE_TYPES["nvidia"] | DEVICE_TYPES["amd"]
 
-CUSTOM: dict[str, Callable[..., DataFrame]] = {}
-
-
-def custom(name: str) -> Callable:
-    """Register a placement function under a name."""
-
-    def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        CUSTOM[name] = f
-        return f
-
-    return add
-
-
-def by_name(name: str, fallback: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    return CUSTOM.get(name, fallback)
-
-
 def devices(spark: SparkSession, rows: list[tuple[int, str, str]]) -> DataFrame:
     """devno, type (bit), name."""
     return spark.createDataFrame([(n, DEVICE_TYPES[t], name) for n, t, name in rows], "devno int, type int, name string")
@@ -74,14 +56,13 @@ def by_type(task: DataFrame, device: DataFrame, mask: int) -> DataFrame:
 def round_robin(task: DataFrame, device: DataFrame, mask: int | None = None, buckets: int = 256) -> DataFrame:
     """Devices in turn, by the tasks' order (column seq), over those of a type if given.
 
-    The turn of a task is its rank.  Ranks are counted in ranges of seq: a small table of
-    range sizes gives each range its offset, so no task sorts everything.
+    The turn of a task is its rank.  Ranks are counted in ranges of seq, cut at its
+    quantiles: a small table of range sizes gives each range its offset, so no task sorts
+    everything.
     """
     chosen = device if mask is None else device.filter(F.col("type").bitwiseAND(mask) != 0)
     order = [r["devno"] for r in chosen.orderBy("devno").select("devno").collect()] or [DEFAULT_DEVICE]
-    ends = task.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
-    lo, width = ends["lo"] or 0, max(1, ((ends["hi"] or 0) - (ends["lo"] or 0)) // buckets + 1)
-    ranged = task.select("task_id", "seq", F.expr(f"(seq - {lo}) div {width}").alias("range"))
+    ranged = with_range(task.select("task_id", "seq"), "seq", buckets)
     sizes = ranged.groupBy("range").count()
     offset = sizes.select("range", (F.sum("count").over(W.orderBy("range")) - F.col("count")).alias("offset"))  # at most ``buckets`` + 1 rows
     nth = F.row_number().over(W.partitionBy("range").orderBy("seq", "task_id")) - 1
@@ -137,6 +118,11 @@ def by_work_items(task: DataFrame, device: DataFrame, limit: int, items: str = "
     return by_type(task.filter(large), device, GPU).unionByName(by_type(task.filter(small), device, DEVICE_TYPES["cpu"]))
 
 
+def arguments_on(args: DataFrame) -> DataFrame:
+    """Arguments whose ``mask`` of device types has the ``type`` (a bit) of their task's device."""
+    return args.filter(F.col("mask").bitwiseAND(F.col("type")) != 0)
+
+
 def resolved_policy(task_policy: Column, graph_policy: Column) -> Column:
     """A graph's policy replaces only a task's default."""
     return F.when(task_policy == "default", graph_policy).otherwise(task_policy)
@@ -149,12 +135,10 @@ def adopt_from_consumer(pending: DataFrame, dep: DataFrame, placement: DataFrame
     return _or_default(pending, found)
 
 
-def graph_features(task: DataFrame, dep: DataFrame, levelled: DataFrame) -> DataFrame:
-    """One row of graph features and the policy they suggest: depend for chains, all
-    devices for wide graphs, round robin otherwise."""
-    t, e = task.agg(F.count("*").alias("tasks")), dep.agg(F.count("*").alias("edges"))
-    h = levelled.agg((F.max("level") + 1).alias("height"))
-    row = {**t.first().asDict(), **e.first().asDict(), **h.first().asDict()}
-    one = task.sparkSession.range(1).select(*[F.lit(v).cast("long").alias(k) for k, v in row.items()])
-    width = F.col("tasks") / F.greatest("height", F.lit(1))
-    return one.withColumn("suggested", F.when(width < 1.5, "depend").when(F.col("edges") < F.col("tasks") * 1.5, "ftf").otherwise("roundrobin"))
+def graph_features(task: DataFrame, dep: DataFrame, levelled: DataFrame, *keys: str) -> DataFrame:
+    """Tasks, edges, height and widest level of each graph (``keys``): the largest sizes a
+    graph's matrices need."""
+    widths = levelled.groupBy(*keys, "level").agg(F.count("*").alias("width"))
+    height = widths.groupBy(*keys).agg((F.max("level") + 1).cast("long").alias("height"), F.max("width").alias("widest"))
+    edges = dep.groupBy(*keys).agg(F.count("*").alias("edges"))
+    return task.groupBy(*keys).agg(F.count("*").alias("tasks")).join(edges, list(keys), "left").join(height, list(keys)).na.fill({"edges": 0})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import coherence, dag, graphcost, report
+from tessera.operators import coherence, dag, generate, graphcost, policy, report
 from tessera.plans.registry import query, read
 from tessera.sources import graph_json
 
@@ -84,6 +84,50 @@ def parallelism(spark, sf_dir):
     return dag.parallelism(dag.levels(*chains(spark, sf_dir))).withColumn("mean_width", F.round("mean_width", 6))
 
 
+@query("graph_sizes", "SELECT conv_id % 7 AS graph, count(*) AS tasks, count(*) FILTER (turn > 0) AS edges, max(turn) + 1 AS height, (SELECT max(n) FROM (SELECT conv_id % 7 AS g, turn, count(*) AS n FROM conversations GROUP BY 1, 2) x WHERE x.g = c.conv_id % 7) AS widest FROM conversations c GROUP BY 1")
+def graph_sizes(spark, sf_dir):
+    """The largest sizes of each graph's matrices."""
+    task, dep = chains(spark, sf_dir)
+    graph = lambda df: df.withColumn("graph", F.expr("(task_id div 1000) % 7"))
+    return policy.graph_features(graph(task), graph(dep), graph(dag.levels(task, dep)), "graph")
+
+
+@query("pruned_deps", f"WITH {DEPS_SQL} SELECT task_id, dep_id FROM deps WHERE task_id - dep_id < 100")
+def pruned_deps(spark, sf_dir):
+    """Edges that a list of allowed ones has."""
+    found = dag.auto_dependencies(access(spark, sf_dir))
+    return dag.pruned(found, found.filter("task_id - dep_id < 100")).select("task_id", "dep_id")
+
+
+@query("end_edges", "WITH last AS (SELECT conv_id, max(turn) AS turn FROM conversations GROUP BY 1) SELECT -1 AS task_id, conv_id * 1000 + turn AS dep_id FROM last UNION ALL SELECT conv_id * 1000 + turn, conv_id * 1000 + turn - 1 FROM conversations WHERE turn > 0")
+def end_edges(spark, sf_dir):
+    """An end task after every task; only its edges to tasks that nothing else follows stay."""
+    task, dep = chains(spark, sf_dir)
+    end = task.select(F.lit(-1).cast("long").alias("task_id"), F.col("task_id").alias("dep_id"))
+    return dag.without_redundant_ends(dep.unionByName(end), -1)
+
+
+@query("region_comm", "WITH t AS (SELECT conv_id * 1000 + turn AS task_id, conv_id, turn FROM conversations) SELECT task_id AS from_id, task_id + 1 AS to_id, 1000000 + task_id - 1 AS mem_id, 16 AS size FROM t WHERE turn % 2 = 1 UNION ALL SELECT 0, task_id + 1, conv_id, 64 FROM t WHERE turn % 2 = 0")
+def region_comm(spark, sf_dir):
+    """Odd turns read the whole of their conversation's buffer, of which the turn before wrote a
+    region; even turns read it from the host."""
+    task, dep = chains(spark, sf_dir)
+    mem = F.expr("task_id div 1000")
+    region = (F.col("task_id") + 1_000_000).alias("mem_id")
+    outs = task.filter("seq % 2 = 0").select("task_id", region)
+    ins = task.select("task_id", mem.alias("mem_id"))
+    regions = task.filter("seq % 2 = 0").select(region, mem.alias("parent_id"))
+    sizes = regions.select("mem_id", F.lit(16).alias("size")).unionByName(ins.select("mem_id").distinct().select("mem_id", F.lit(64).alias("size")))
+    return graphcost.communication_list(dep, outs, ins, sizes, regions)
+
+
+@query("pushed_outputs", f"WITH {DEPS_SQL} SELECT DISTINCT o.mem_id, o.devno AS from_dev, i.devno AS to_dev FROM deps d JOIN access o ON o.task_id = d.dep_id AND o.mode <> 'r' JOIN access i ON i.task_id = d.task_id AND i.mode <> 'w' AND i.mem_id = o.mem_id WHERE o.devno <> i.devno")
+def pushed_outputs(spark, sf_dir):
+    log = access(spark, sf_dir)
+    ins, outs = dag.inputs_outputs(log)
+    return coherence.proactive_transfers(dag.auto_dependencies(log), outs, ins, log.select("task_id", "devno"))
+
+
 @query("both_ways", f"WITH {CHAIN_SQL} SELECT task_id, dep_id FROM dep UNION SELECT dep_id, task_id FROM dep")
 def both_ways(spark, sf_dir):
     return dag.both_ways(chains(spark, sf_dir)[1])
@@ -190,18 +234,57 @@ def range_overlap(spark, sf_dir):
     return coherence.range_overlaps(r.filter("id % 2 = 0"), r.filter("id % 2 = 1"), 64)
 
 
-@query("membership_matrix", f"WITH {ACCESS_SQL} SELECT task_id, [CASE WHEN bool_or(mem_id = 1) THEN 1 ELSE 0 END, CASE WHEN bool_or(mem_id = 2) THEN 1 ELSE 0 END, CASE WHEN bool_or(mem_id = 3) THEN 1 ELSE 0 END]::VARCHAR AS flags FROM access GROUP BY 1")
+@query("membership_matrix", f"WITH {ACCESS_SQL} SELECT DISTINCT task_id, mem_id, 1 AS flag FROM access")
 def membership_matrix(spark, sf_dir):
-    m = graphcost.membership_matrix(access(spark, sf_dir), [1, 2, 3])
-    return m.select("task_id", F.concat(F.lit("["), F.array_join("flags", ", "), F.lit("]")).alias("flags"))
+    """The ones of the tasks x buffers matrix, of all buffers."""
+    return graphcost.membership_matrix(access(spark, sf_dir))
+
+
+@query("execution_schedule", "SELECT event_id AS task_id, CAST(user_id % 4 AS INTEGER) AS devno, epoch_us(ts) AS start, epoch_us(ts) + CAST(round(value * 100) AS BIGINT) AS \"end\" FROM events")
+def execution_schedule(spark, sf_dir):
+    from tessera.plans.history_queries import trace
+
+    return graphcost.schedule(trace(spark, sf_dir))
+
+
+@query("recoloured", "SELECT user_id AS task_id, arg_min(d, event_id) AS devno, CASE arg_min(d, event_id) WHEN 0 THEN 'gold' WHEN 1 THEN 'steelblue' WHEN 2 THEN 'salmon' ELSE 'lightgrey' END AS colour FROM (SELECT *, CAST(event_id % 4 AS INTEGER) AS d FROM events) GROUP BY 1")
+def recoloured(spark, sf_dir):
+    """Users as tasks, coloured by the device of their first event; device 3 has a type without a colour."""
+    ran = read(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), (F.col("event_id") % 4).cast("int").alias("devno"), F.col("event_id").alias("start"))
+    device = spark.createDataFrame([(0, 1), (1, 2), (2, 4), (3, 16)], "devno int, type int")
+    return report.recoloured(ran.select("task_id").distinct(), ran, device)
+
+
+@query("event_lines", "SELECT event_id AS task_id, to_json({'lane': 'dev' || user_id % 4, 'label': ['compute', 'copy in', 'copy out', 'copy across', 'set up', 'other'][event_id % 6 + 1], 'from': event_id, 'to': event_id + 1})::VARCHAR AS line FROM events")
+def event_lines(spark, sf_dir):
+    kinds = F.array(*map(F.lit, ["kernel", "h2d", "d2h", "d2d", "init", "no such kind"]))
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("task_id"), (F.col("user_id") % 4).alias("devno"), F.element_at(kinds, (F.col("event_id") % 6 + 1).cast("int")).alias("kind"), F.col("event_id").alias("start"), (F.col("event_id") + 1).alias("end"))
+    return report.event_lines(e)
 
 
-@query("dot_lines", f"WITH {CHAIN_SQL} SELECT 0 AS part, 0::BIGINT AS id, 'digraph tasks {{' AS line UNION ALL SELECT 1, task_id, 'task' || task_id || ' [style=filled, fillcolor=white, label=\"' || name || '\"]' FROM task UNION ALL SELECT 2, task_id, 'task' || dep_id || ' -> task' || task_id FROM dep UNION ALL SELECT 3, task_id, 'start -> task' || task_id FROM task WHERE task_id NOT IN (SELECT task_id FROM dep) UNION ALL SELECT 4, task_id, 'task' || task_id || ' -> end' FROM task WHERE task_id NOT IN (SELECT dep_id FROM dep) UNION ALL SELECT 5, 0, '}}'")
+@query("arguments_by_device", "SELECT user_id AS task_id, event_id AS idx FROM events WHERE ([1, 2, 6, 31][user_id % 4 + 1] & [1, 2, 4][event_id % 3 + 1]) <> 0")
+def arguments_by_device(spark, sf_dir):
+    """Arguments that count only on some device types (a bit mask), on the device of their task."""
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by + 1).cast("int"))
+    args = read(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("idx"), pick([1, 2, 6, 31], F.col("user_id") % 4).alias("mask"), pick([1, 2, 4], F.col("event_id") % 3).alias("type"))
+    return policy.arguments_on(args).select("task_id", "idx")
+
+
+@query("memory_shuffles", "SELECT event_id AS task_id, CASE WHEN user_id % 2 = 0 THEN user_id + 1 ELSE user_id - 1 END AS mem_id FROM events")
+def memory_shuffles(spark, sf_dir):
+    """Pairs of buffers change places in every access."""
+    swap = F.when(F.col("mem_id") % 2 == 0, F.col("mem_id") + 1).otherwise(F.col("mem_id") - 1)
+    log = access(spark, sf_dir)
+    pairs = log.select("mem_id").distinct().select("mem_id", swap.alias("becomes"))
+    return generate.swapped(log, pairs).select("task_id", "mem_id")
+
+
+@query("dot_lines", f"WITH {CHAIN_SQL} SELECT 0 AS part, 0::BIGINT AS id, 'strict digraph {{' AS line UNION ALL SELECT 1, task_id, 'n' || task_id || ' [shape=box, color=lightgrey, tooltip=\"task ' || task_id || '\", label=\"' || name || '\"]' FROM task UNION ALL SELECT 2, task_id, 'n' || dep_id || ' -> n' || task_id FROM dep UNION ALL SELECT 3, task_id, 'source -> n' || task_id FROM task WHERE task_id NOT IN (SELECT task_id FROM dep) UNION ALL SELECT 4, task_id, 'n' || task_id || ' -> sink' FROM task WHERE task_id NOT IN (SELECT dep_id FROM dep) UNION ALL SELECT 5, 0, '}}'")
 def dot_lines(spark, sf_dir):
     return report.dot_lines(*chains(spark, sf_dir))
 
 
-@query("timeline_lines", "SELECT event_id AS task_id, '[ ''dev' || user_id % 4 || ''', ''' || event_type || ' (sdq)'', ' || event_id * 1000 || '.000, ' || (event_id + 1) * 1000 || '.000 ],' AS line FROM events")
+@query("timeline_lines", "SELECT event_id AS task_id, to_json({'lane': 'dev' || user_id % 4, 'label': event_type, 'policy': 'sdq', 'from_us': event_id * 1000000, 'to_us': (event_id + 1) * 1000000})::VARCHAR AS line FROM events")
 def timeline_lines(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     rows = e.select(F.col("event_id").alias("task_id"), F.concat(F.lit("dev"), F.col("user_id") % 4).alias("device"), F.col("event_type").alias("name"), F.lit("sdq").alias("policy"), F.col("event_id").cast("double").alias("start"), (F.col("event_id") + 1).cast("double").alias("end"))
@@ -229,9 +312,29 @@ def json_commands(spark, sf_dir):
     return graph_json.commands(graph_json.parse(_documents(spark, sf_dir)), "conv_id").select("conv_id", "seq", "opcode", "name", "size")
 
 
-@query("json_problems", "SELECT count(*) AS problems FROM conversations WHERE false")
+@query("json_problems", "SELECT conv_id, ['no task list', 'task without a name', 'command of an unknown kind', 'parameter of an unknown type', 'memory without permissions'][conv_id % 7] AS problem FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 7 BETWEEN 1 AND 5")
 def json_problems(spark, sf_dir):
-    return graph_json.problems(graph_json.parse(_documents(spark, sf_dir)), "conv_id").agg(F.count("*").alias("problems"))
+    """A document for each conversation; five of seven kinds have a fault each."""
+    tasks = {
+        1: None, 2: '[{"commands": [{"kernel": {"name": "k", "global_size": [1]}}]}]', 3: '[{"name": "t", "commands": [{"move": {"name": "c"}}]}]',
+        4: '[{"name": "t", "commands": [{"kernel": {"name": "k", "global_size": [1], "parameters": [{"type": "other", "value": "3"}]}}]}]',
+        5: '[{"name": "t", "commands": [{"kernel": {"name": "k", "global_size": [1], "parameters": [{"type": "memory_object", "value": "m"}]}}]}]',
+        0: '[{"name": "t", "commands": [{"kernel": {"name": "k", "global_size": [1], "parameters": [{"type": "memory_object", "value": "m", "permissions": "rw"}]}}]}]', 6: '[{"name": "t", "commands": []}]',
+    }
+    kind, text = F.col("conv_id") % 7, F.lit(None).cast("string")
+    for k, t in tasks.items():
+        text = F.when(kind == k, F.lit('{"a graph": {"graph": {%s}}}' % (f'"tasks": {t}' if t else ""))).otherwise(text)
+    docs = read(spark, sf_dir, "conversations").select("conv_id").distinct().select("conv_id", text.alias("json"))
+    return graph_json.problems(graph_json.parse(docs), "conv_id")
+
+
+@query("json_bound", "SELECT conv_id, 0 AS idx, 'scalar' AS type, (conv_id * 3)::VARCHAR AS value, NULL AS mode FROM (SELECT DISTINCT conv_id FROM conversations) UNION ALL SELECT DISTINCT conv_id, 1, 'memory_object', 'm', 'rw' FROM conversations")
+def json_bound(spark, sf_dir):
+    """Kernel arguments whose values name inputs, bound to each document's own numbers."""
+    ids = read(spark, sf_dir, "conversations").select("conv_id").distinct()
+    json = F.concat(F.lit('{"a graph": {"inputs": ["n"], "graph": {"tasks": [{"name": "t", "commands": [{"kernel": {"name": "k", "global_size": [1], "parameters": [{"type": "scalar", "name": "n", "value": "n'), F.col("conv_id"), F.lit('", "data_type": "int32_t"}, {"type": "memory_object", "value": "m", "permissions": "rw"}]}}]}]}}}'))
+    bindings = ids.select(F.concat(F.lit("n"), "conv_id").alias("name"), (F.col("conv_id") * 3).cast("string").alias("bound"))
+    return graph_json.parameters(graph_json.parse(ids.select("conv_id", json.alias("json"))), "conv_id", bindings=bindings).select("conv_id", "idx", "type", "value", "mode")
 
 
 @query("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -241,6 +344,4 @@ def json_props(spark, sf_dir):
 
 @query("random_graph")
 def random_graph(spark, sf_dir):
-    from tessera.operators import generate
-
     return generate.random_graph(spark, levels=40, width=(1, 6), skips=3, mean=4.0, std=2.0, seed=7, copies=2)[1]

@@ -6,11 +6,15 @@ hundredths (whole numbers, so sums are exact), size = k of the JSON props.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.lineage import shared_dir
 from tessera.operators import history
 from tessera.plans.registry import query, read
+from tessera.sources import trace_csv
 
 TRACE_SQL = "SELECT event_id AS task_id, event_type AS kernel, CAST(user_id % 4 AS INTEGER) AS devno, epoch_us(ts) AS start, CAST(round(value * 100) AS BIGINT) AS duration, epoch_us(ts) + CAST(round(value * 100) AS BIGINT) AS \"end\", CAST(json_extract(props, '$.k') AS BIGINT) AS size, CASE user_id % 3 WHEN 0 THEN 'linear10' WHEN 1 THEN 'linear25' ELSE 'linear100' END AS dag, CASE event_id % 3 WHEN 0 THEN 'depend' WHEN 1 THEN 'sdq' ELSE 'ftf' END AS policy FROM events"
 
@@ -44,6 +48,86 @@ def kernel_rollup(spark, sf_dir):
     return trace(spark, sf_dir).rollup("kernel", "devno").agg(F.count("*").alias("n"), F.sum("duration").alias("total"))
 
 
+KIND_SQL = "kinds AS (SELECT *, ['kernel', 'h2d', 'd2h', 'd2d'][event_id % 4 + 1] AS kind FROM (SELECT *, task_id AS event_id FROM trace))"
+
+
+def with_kind(df: DataFrame) -> DataFrame:
+    return df.withColumn("kind", F.element_at(F.array(*map(F.lit, ["kernel", "h2d", "d2h", "d2d"])), (F.col("task_id") % 4 + 1).cast("int")))
+
+
+@query("kernel_report", _with(f", {KIND_SQL} SELECT kernel, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}_n, sum(duration) FILTER (kind = '{k}')::BIGINT AS {k}_time, sum(size) FILTER (kind = '{k}')::BIGINT AS {k}_bytes" for k in ("kernel", "h2d", "d2h", "d2d")) + " FROM kinds GROUP BY ROLLUP (kernel)"))
+def kernel_report(spark, sf_dir):
+    return history.kernel_report(with_kind(trace(spark, sf_dir)))
+
+
+@query("launch_latency", _with("SELECT kernel, round(sum(duration)::DOUBLE / count(*), 6) AS latency FROM trace GROUP BY kernel"))
+def launch_latency(spark, sf_dir):
+    stats = history.kernel_stats(trace(spark, sf_dir), "kernel")
+    return stats.select("kernel", F.round(history.latency(F.col("total"), F.col("n")), 6).alias("latency"))
+
+
+@query("merged_means", _with("SELECT kernel, devno, count(*) AS n, sum(duration)::BIGINT AS total FROM trace GROUP BY ALL"))
+def merged_means(spark, sf_dir):
+    """Statistics of an old and of a new part of a trace, put together."""
+    rows = trace(spark, sf_dir)
+    old, new = (history.kernel_stats(rows.filter(F.col("task_id") % 3 == 0 if part else F.col("task_id") % 3 != 0), "kernel", "devno") for part in (0, 1))
+    return history.incremental_means(old.select("kernel", "devno", "n", "total"), new.select("kernel", "devno", "n", "total"), "kernel", "devno")
+
+
+@query("transfer_labels", "SELECT CASE event_id % 3 WHEN 0 THEN 'initial_h2d' WHEN 1 THEN 'dmem-final_d2h' ELSE event_type END AS name, count(*) AS n FROM events GROUP BY 1")
+def transfer_labels(spark, sf_dir):
+    e, part = read(spark, sf_dir, "events"), F.col("event_id") % 3
+    name = F.when(part == 0, F.concat(F.lit("transferto-"), "event_id")).when(part == 1, F.concat(F.lit("dmem-transferfrom-"), "event_id")).otherwise(F.col("event_type"))
+    return e.groupBy(history.transfer_names(name).alias("name")).agg(F.count("*").alias("n"))
+
+
+@query("code_names", "SELECT event_id, coalesce(MAP {32: 'default', 262144: 'roundrobin', 524288: 'depend', 1048576: 'data', 2097152: 'profile', 4194304: 'random', 8388608: 'pending', 16777216: 'sdq', 33554432: 'ftf'}[(1::BIGINT << (event_id % 10 + 17))::INTEGER], 'unknown') AS policy, coalesce(['complete', 'running', 'submitted', 'queued', 'none'][event_id % 7 + 1], 'unknown') AS state FROM events")
+def code_names(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    code = F.pow(F.lit(2), F.col("event_id") % 10 + 17).cast("int")
+    return e.select("event_id", history.named(code, history.POLICIES).alias("policy"), history.named(F.col("event_id") % 7, history.STATES).alias("state"))
+
+
+@query("poisson_fit", _with("SELECT round(ln(a), 4) AS base, round(ln(b / a), 4) AS click, round(pearson / (n - 2), 3) AS dispersion FROM (SELECT any_value(a) AS a, any_value(b) AS b, count(*) AS n, sum((duration - m) ** 2 / m) AS pearson FROM (SELECT duration, CASE WHEN kernel = 'click' THEN b ELSE a END AS m, a, b FROM trace, (SELECT avg(duration) FILTER (kernel <> 'click') AS a, avg(duration) FILTER (kernel = 'click') AS b FROM trace)))"))
+def poisson_fit(spark, sf_dir):
+    """Quasi-Poisson regression of durations on one indicator, which has a closed form."""
+    rows = trace(spark, sf_dir).withColumn("click", (F.col("kernel") == "click").cast("int"))
+    fit = history.poisson_fit(rows, "duration", "click")
+    base, click = fit["coefficients"]
+    return spark.createDataFrame([(round(base, 4), round(click, 4), round(fit["dispersion"], 3))], "base double, click double, dispersion double")
+
+
+@query("trace_round_trip", _with("SELECT 'task' || task_id AS taskname, start / 1e6 AS start, duration, CASE WHEN task_id % 5 < 4 THEN size END AS size, policy, 'Fast Device' AS device, devno, dag, 'plan' AS schedule FROM trace"))
+def trace_round_trip(spark, sf_dir):
+    """A trace written as files, whose names carry dimensions, and read back."""
+    rows = trace(spark, sf_dir)
+    path = f"{shared_dir(spark)}/traces-{uuid.uuid4().hex}"
+    rows = rows.select(F.concat(F.lit("task"), "task_id").alias("taskname"), F.when(F.col("task_id") % 5 < 4, "Kernel").otherwise("MemFlushOut").alias("type"), (F.col("start") / 1e6).alias("start"), (F.col("end") / 1e6).alias("end"), F.col("duration").cast("double").alias("duration"), "size", "policy", F.concat(F.lit("Fast Device "), "devno").alias("acclname"), "dag")
+    for name in ("linear10", "linear25", "linear100"):
+        trace_csv.write_trace(rows.filter(F.col("dag") == name), f"{path}/{name}-plan")
+    return trace_csv.read_trace(spark, f"{path}/*", from_folder=True).select("taskname", "start", F.col("duration").cast("long").alias("duration"), "size", "policy", "device", "devno", "dag", "schedule")
+
+
+@query("sample_lines", "SELECT conv_id, generate_subscripts([1.5, 2.0, 3.25], 1) - 1 AS at, unnest([1.5, 2.0, 3.25]) * conv_id AS value FROM (SELECT DISTINCT conv_id FROM conversations)")
+def sample_lines(spark, sf_dir):
+    """Lines of comma-separated numbers with comments between, written as text and read back."""
+    path = f"{shared_dir(spark)}/samples-{uuid.uuid4().hex}"
+    ids = read(spark, sf_dir, "conversations").select("conv_id").distinct()
+    number = lambda x: (F.col("conv_id") * x).cast("string")
+    line = F.concat_ws("\n", F.concat(F.lit("# conversation "), "conv_id"), F.concat_ws(", ", *map(number, (1.0, 1.5, 2.0, 3.25))), F.lit(""))
+    ids.select(line.alias("value")).write.text(path)
+    rows = trace_csv.read_samples(spark, path, lines=True)
+    return rows.groupBy("line").agg(F.max(F.when(F.col("at") == 0, F.col("value"))).cast("long").alias("conv_id"), F.collect_list(F.when(F.col("at") > 0, F.struct(F.col("at") - 1, F.col("value")))).alias("v")).select("conv_id", F.inline("v")).toDF("conv_id", "at", "value").select("conv_id", F.col("at").cast("long").alias("at"), "value")
+
+
+@query("devices_by_system", "SELECT o_orderkey AS task_id, coalesce(MAP {'F': 1, 'O': 4}[o_orderstatus], 0) AS devices FROM orders")
+def devices_by_system(spark, sf_dir):
+    """A small dictionary, looked up by a join."""
+    sizes = spark.createDataFrame([("F", 1), ("O", 4)], "system string, devices int")
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"), F.col("o_orderstatus").alias("system"))
+    return history.looked_up(rows, sizes, "system").select("task_id", F.coalesce("devices", F.lit(0)).alias("devices"))
+
+
 @query("makespan", _with("SELECT dag, policy, max(\"end\") - min(start) AS makespan FROM trace GROUP BY ALL"))
 def makespan(spark, sf_dir):
     return history.makespan(trace(spark, sf_dir), "dag", "policy")
@@ -62,7 +146,7 @@ def summary_stats(spark, sf_dir):
 
 @query("conditional_median", _with("SELECT dag, median(CASE WHEN kernel = 'click' THEN duration END) AS click, median(CASE WHEN kernel = 'view' THEN duration END) AS view FROM trace GROUP BY dag"))
 def conditional_median(spark, sf_dir):
-    return trace(spark, sf_dir).groupBy("dag").agg(*[F.median(F.when(F.col("kernel") == k, F.col("duration"))).alias(k) for k in ("click", "view")])
+    return history.median_table(trace(spark, sf_dir), "duration", "dag", "kernel", ["click", "view"])
 
 
 @query("running_mean", _with("SELECT task_id, kernel, devno, round(avg(duration) OVER (PARTITION BY kernel, devno ORDER BY task_id ROWS UNBOUNDED PRECEDING), 4) AS running_mean FROM trace"))
@@ -96,7 +180,7 @@ def rows_of_best_policy(spark, sf_dir):
 
 @query("policy_pivot", _with("SELECT dag, median(CASE WHEN policy = 'depend' THEN duration END) AS depend, median(CASE WHEN policy = 'sdq' THEN duration END) AS sdq, median(CASE WHEN policy = 'ftf' THEN duration END) AS ftf FROM trace GROUP BY dag"))
 def policy_pivot(spark, sf_dir):
-    return trace(spark, sf_dir).groupBy("dag").pivot("policy", ["depend", "sdq", "ftf"]).agg(F.median("duration"))
+    return history.median_table(trace(spark, sf_dir), "duration", "dag", "policy", ["depend", "sdq", "ftf"])
 
 
 @query("relative_policy", _with("SELECT a.dag, round(a.m::DOUBLE / b.m, 8) AS ratio FROM (SELECT dag, sum(duration) AS m FROM trace WHERE policy = 'depend' GROUP BY dag) a JOIN (SELECT dag, sum(duration) AS m FROM trace WHERE policy = 'ftf' GROUP BY dag) b USING (dag)"))
@@ -118,9 +202,24 @@ def linear_fit(spark, sf_dir):
     return history.linear_fit(trace(spark, sf_dir), "size", "duration", "kernel").select("kernel", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), "n")
 
 
-@query("bandwidth", _with("SELECT task_id, round(size::DOUBLE / nullif(duration, 0), 8) AS rate FROM trace"))
+@query("bandwidth", _with("SELECT task_id, round(CASE WHEN r < 1024 THEN r WHEN r < 1048576 THEN r / 1024 WHEN r < 1073741824 THEN r / 1048576 ELSE r / 1073741824 END, 6) AS rate, CASE WHEN r < 1024 THEN 'B' WHEN r < 1048576 THEN 'KB' WHEN r < 1073741824 THEN 'MB' ELSE 'GB' END AS unit FROM (SELECT task_id, (size * size * size * size)::DOUBLE / duration AS r FROM trace WHERE duration > 0)"))
 def bandwidth(spark, sf_dir):
-    return trace(spark, sf_dir).select("task_id", F.round(F.try_divide("size", "duration"), 8).alias("rate"))
+    rows = trace(spark, sf_dir).filter("duration > 0")
+    rate, unit = history.bandwidth(F.col("size") * F.col("size") * F.col("size") * F.col("size"), F.col("duration"))
+    return rows.select("task_id", F.round(rate, 6).alias("rate"), unit.alias("unit"))
+
+
+@query("drop_missing", "SELECT l_orderkey, count(*) AS n FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_acctbal > 0 WHERE s_name IS NOT NULL GROUP BY 1")
+def drop_missing(spark, sf_dir):
+    rich = read(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    return read(spark, sf_dir, "lineitem").join(rich, "l_suppkey", "left").na.drop(subset=["s_name"]).groupBy("l_orderkey").agg(F.count("*").alias("n"))
+
+
+@query("user_order", _with("SELECT task_id, row_number() OVER (PARTITION BY dag ORDER BY (task_id * 7919) % 100003, task_id) AS nth FROM trace"))
+def user_order(spark, sf_dir):
+    """Tasks in an order that a table gives: rank within each graph, by ranges of the order."""
+    order = trace(spark, sf_dir).select("task_id", ((F.col("task_id") * 7919) % 100003).alias("wanted"))
+    return history.ranked(trace(spark, sf_dir).join(order, "task_id"), "wanted", "task_id", "dag").select("task_id", "nth")
 
 
 @query("long_form_filter", _with("SELECT kernel, count(*) AS n FROM trace WHERE NOT starts_with(kernel, 'pur') AND NOT regexp_matches(kernel, '^s.*p$') GROUP BY kernel"))

@@ -78,11 +78,11 @@ def policy_depend(spark, sf_dir):
     return policy.of_dependencies(task, dep, placement, _able(spark, sf_dir))
 
 
-@query("policy_profile", "WITH s AS (SELECT ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][user_id % 5 + 1] AS kernel, CAST(event_id % 3 AS INTEGER) AS devno, sum(CAST(round(value * 100) AS BIGINT))::DOUBLE / count(*) AS mean FROM events WHERE user_id % 5 < 4 GROUP BY 1, 2) SELECT o_orderkey AS task_id, CASE WHEN o_orderpriority = '5-LOW' THEN 0 ELSE 3 END::INTEGER AS devno FROM orders")
+@query("policy_profile", "WITH s AS (SELECT ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][user_id % 4 + 1] AS kernel, CAST(event_id % 4 AS INTEGER) AS devno, sum(CAST(round(value * 100) AS BIGINT))::DOUBLE / count(*) AS mean FROM events GROUP BY 1, 2), b AS (SELECT kernel, devno, row_number() OVER (PARTITION BY kernel ORDER BY mean, devno) AS nth FROM s) SELECT o_orderkey AS task_id, coalesce(devno, 0)::INTEGER AS devno FROM orders LEFT JOIN b ON kernel = o_orderpriority AND nth = 1")
 def policy_profile(spark, sf_dir):
-    """Device 3 has no history, so it comes first for kernels that have some; a kernel without any goes to device 0."""
+    """The device with the least mean; the last kernel has no history and goes to device 0."""
     names = F.array(*map(F.lit, KERNELS))
-    history = read(spark, sf_dir, "events").filter("user_id % 5 < 4").select(F.element_at(names, (F.col("user_id") % 5 + 1).cast("int")).alias("kernel"), (F.col("event_id") % 3).cast("int").alias("devno"), F.round(F.col("value") * 100).cast("long").alias("duration"))
+    history = read(spark, sf_dir, "events").select(F.element_at(names, (F.col("user_id") % 4 + 1).cast("int")).alias("kernel"), (F.col("event_id") % 4).cast("int").alias("devno"), F.round(F.col("value") * 100).cast("long").alias("duration"))
     return policy.fastest(_task(spark, sf_dir), _device(spark), history)
 
 
@@ -92,7 +92,7 @@ def policy_sdq(spark, sf_dir):
     return policy.shortest_queue(queue, _device(spark))
 
 
-@query("policy_block_cycle", f"WITH {ABLE_SQL}, t AS (SELECT *, task_id % 7 - 1 AS r, items % 5 AS c FROM task) SELECT task_id, CAST(CASE WHEN c % 2 >= r % 2 THEN (c % 2) * (c % 2) + r % 2 ELSE (r % 2) * (r % 2 + 2) - c % 2 END % 4 AS INTEGER) AS devno FROM t WHERE r >= 0 UNION ALL SELECT task_id, coalesce(devno, 0)::INTEGER FROM t LEFT JOIN able USING (task_id) WHERE r < 0")
+@query("policy_block_cycle", f"WITH {ABLE_SQL}, t AS (SELECT *, task_id % 7 - 1 AS r, items % 5 AS c FROM task) SELECT task_id, [[0, 1], [2, 3]][r % 2 + 1][c % 2 + 1] AS devno FROM t WHERE r >= 0 UNION ALL SELECT task_id, coalesce(devno, 0)::INTEGER FROM t LEFT JOIN able USING (task_id) WHERE r < 0")
 def policy_block_cycle(spark, sf_dir):
     task = _task(spark, sf_dir).withColumns({"row": F.col("task_id") % 7 - 1, "col": F.col("items") % 5})
     return policy.block_cycle(task, _able(spark, sf_dir), 4)

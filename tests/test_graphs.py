@@ -1,9 +1,13 @@
 """Hand-checked task graphs, placements and generators."""
 
+import random
+from collections import defaultdict
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import dag, generate, policy
+from tessera.operators import dag, generate, history, linalg, policy, ranges
 
 ACCESS = "task_id long, seq long, mem_id long, mode string"
 #: access log, expected (task, dependency, kind)
@@ -37,6 +41,21 @@ def test_levels_of_five_tasks(spark):
         dag.levels(task, dep.union(spark.createDataFrame([(3, 5)], dep.schema)))
 
 
+def test_levels_by_brute_force(spark):
+    r = random.Random(6)
+    for n in (1, 30, 60):
+        edges = {(i, r.randint(max(0, i - 4), i - 1)) for i in range(1, n) for _ in range(r.choice([1, 1, 1, 2]))} | {(900 + i, 899 + i) for i in range(1, 40)} | {(3, 77)}
+        ids = [*range(n), *range(900, 940), 899]
+        want = {}
+        for i in sorted(set(ids) | {899}):
+            want[i] = max((want[d] + 1 for t, d in edges if t == i and d in want), default=0)
+        task, dep = spark.createDataFrame([(i,) for i in set(ids)], "task_id long"), spark.createDataFrame([e for e in edges if e[0] in ids and (e[1] in ids or e[1] == 77)], "task_id long, dep_id long")
+        assert {x["task_id"]: x["level"] for x in dag.levels(task, dep).collect()} == want
+    for ring in ([(1, 3), (2, 1), (3, 2)], [(1, 3), (2, 1), (3, 2), (4, 3), (4, 2)]):
+        with pytest.raises(ValueError):
+            dag.levels(spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "task_id long"), spark.createDataFrame(ring, "task_id long, dep_id long"))
+
+
 def test_difference_and_both_ways(spark):
     pairs = "task_id long, dep_id long"
     manual, inferred = spark.createDataFrame([(2, 1), (3, 1), (2, 1)], pairs), spark.createDataFrame([(2, 1), (3, 2)], pairs)
@@ -65,6 +84,66 @@ def test_unsupported_kernels_fall_back(spark):
     assert {tuple(r) for r in policy.everywhere(task, able).collect()} == {(1, 2), (1, 3), (2, 0)}
 
 
+def test_long_groups_in_ranges(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(i, r.randint(0, 40), r.choice([1, 1, 1, 2, None]), r.choice("r r w rw".split()), r.choice([None, 0, 1, 2, 3, 1000])) for i in range(400)]
+    df = spark.createDataFrame(rows, "task_id long, seq long, mem_id long, mode string, duration long")
+    for buckets in (1, 7, 256):
+        monkeypatch.setattr(ranges.with_range, "__defaults__", (buckets,))
+        groups = defaultdict(list)
+        for x in sorted(rows, key=lambda x: (x[1], x[0])):
+            groups[x[2]].append(x)
+        epochs = {x["task_id"]: (x["epoch"], x["last_writer"]) for x in dag.with_epochs(df).collect()}
+        nth = {x["task_id"]: x["nth"] for x in history.ranked(df, "seq", "task_id", "mem_id").collect()}
+        means = {x["task_id"]: x["running_mean"] for x in history.running_mean(df, "mem_id", order="task_id").collect()}
+        for g in groups.values():
+            writes = []
+            for k, x in enumerate(g):
+                assert epochs[x[0]] == (len(writes), writes[-1] if writes else None) and nth[x[0]] == k + 1
+                if x[3] != "r":
+                    writes.append(x[0])
+            so_far = []
+            for x in sorted(g):
+                so_far += [x[4]] * (x[4] is not None)
+                assert means[x[0]] == (pytest.approx(sum(so_far) / len(so_far)) if so_far else None)
+        assert {x["mem_id"]: x["median"] for x in history.medians(df, "duration", "mem_id").collect()} == {k: np.median([x[4] for x in g if x[4] is not None]) for k, g in groups.items()}
+    assert dag.with_epochs(df.limit(0)).count() == history.running_mean(df.limit(0), "mem_id", order="seq").count() == 0
+
+
+def test_medians_of_many_values(spark):
+    values = np.random.default_rng(2).lognormal(size=20_001)
+    df = spark.createDataFrame([(int(i % 2), float(v)) for i, v in enumerate(values)], "k int, v double")
+    assert {x["k"]: x["median"] for x in history.medians(df, "v", "k").collect()} == pytest.approx({0: np.median(values[::2]), 1: np.median(values[1::2])}, rel=1e-12)
+
+
+def test_grids_and_quantiles(spark):
+    assert [linalg.grid_of(n) for n in (1, 2, 4, 5, 6, 8, 9, 12)] == [(1, 1), (1, 2), (2, 2), (1, 5), (2, 3), (2, 4), (3, 3), (3, 4)]
+    cells = spark.range(400).selectExpr("id div 20 - 1 as r", "id % 20 as c")
+    for n in (1, 4, 6, 7, 12):
+        placed = cells.withColumn("d", linalg.block_cyclic(F.col("r"), F.col("c"), n)).collect()
+        assert all((x["d"] is None) == (x["r"] < 0) for x in placed) and {x["d"] for x in placed} - {None} == set(range(n))
+        at = {(x["r"], x["c"]): x["d"] for x in placed}
+        p, q = linalg.grid_of(n)
+        assert all(len({at[r + i, c + j] for i in range(p) for j in range(q)}) == n for r in range(13) for c in range(13))
+    quantiles = spark.createDataFrame([(0.975,), (0.5,), (0.01,), (1e-6,), (0.0,)], "p double").select(generate.inverse_normal(F.col("p")).alias("z")).collect()
+    assert [x["z"] for x in quantiles[:4]] == pytest.approx([1.959963984540054, 0, -2.326347874040841, -4.753424308822899], abs=1e-7) and quantiles[4]["z"] is None
+    big = [(1 << 33) + 1, (1 << 33) + 3, 1]
+    assert [x["v"] for x in spark.createDataFrame([(i,) for i in big], "i long").select(generate.radical_inverse(F.col("i")).alias("v")).collect()] == [2.0**-1 + 2.0**-34, 2.0**-1 + 2.0**-2 + 2.0**-34, 0.5]
+
+
+def test_poisson_fit_by_newton(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(400, 2))
+    y = r.poisson(np.exp(1 + x @ [0.5, -0.3]))
+    fit = history.poisson_fit(spark.createDataFrame([(int(b), *map(float, a)) for a, b in zip(x, y, strict=True)], "y long, u double, v double"), "y", "u", "v")
+    design, beta = np.column_stack([np.ones(400), x]), np.zeros(3)
+    for _ in range(50):
+        mu = np.exp(design @ beta)
+        beta = beta + np.linalg.solve(design.T @ (mu[:, None] * design), design.T @ (y - mu))
+    assert fit["coefficients"] == pytest.approx(beta, abs=1e-6) and fit["n"] == 400
+    assert fit["dispersion"] == pytest.approx(((y - mu) ** 2 / mu).sum() / 397, rel=1e-6)
+
+
 def test_generators(spark):
     values = lambda df: [r["v"] for r in df.orderBy("i").collect()]
     assert values(generate.arithmetic(spark, 4, 3, 2)) == [3, 5, 7, 9]
