@@ -9,6 +9,9 @@ fall below it.  The heaviest stretch chooses the element that holds the main tex
 pages with article and main elements too, and that element's lines are kept whole: a
 short heading or lead before the surge point, and what follows an advert within the text.
 
+So the surge and dive points choose among the elements of a page and, where the text
+lies in no element of its own, its ends; both are returned with the text.
+
 One narrow pass over the rows; a page needs memory for its own lines only.
 """
 
@@ -145,8 +148,23 @@ def lines_of(page: str) -> list[tuple[str, int, tuple]]:
     return out
 
 
-def main_lines(lines: list[tuple[str, int, tuple]], window: int = WINDOW, surge: float = SURGE) -> list[str]:
-    """The lines of the densest stretch, from its surge to its dive point, and of its container; zeroed ones are left out.
+def stretch_of(lengths: list[int], window: int = WINDOW, surge: float = SURGE) -> tuple[int, int]:
+    """[surge point, dive point) of the heaviest stretch of lines; of equal ones the first."""
+    sums = [sum(lengths[k : k + window]) for k in range(len(lengths))]
+    level, best, found, k = surge * max(sums, default=0), 0, (0, len(lengths)), 0
+    while k < len(lengths):
+        first = k
+        while k < len(lengths) and sums[k] > level:
+            k += 1
+        if (mass := sum(lengths[first:k])) > best:
+            best, found = mass, (first, k)
+        k = max(k, first + 1)
+    return found
+
+
+def main_lines(lines: list[tuple[str, int, tuple]], window: int = WINDOW, surge: float = SURGE) -> tuple[list[str], int, int]:
+    """The lines of the heaviest stretch, from its surge to its dive point, and of its
+    container; zeroed ones are left out.  Also the numbers of the surge and the dive line (-1: none).
 
     The container is the innermost article or main element that holds over half of the
     stretch, else the innermost element that holds ``HOLDS`` of it; the text has the
@@ -155,17 +173,10 @@ def main_lines(lines: list[tuple[str, int, tuple]], window: int = WINDOW, surge:
     """
     at = [i for i, line in enumerate(lines) if line[1]]
     if not at:
-        return []
-    lengths = [lines[i][1] for i in at]
-    sums = [sum(lengths[k : k + window]) for k in range(len(at))]
-    level, best, stretch, k = surge * max(sums), 0, at, 0
-    while k < len(at):
-        first = k
-        while k < len(at) and sums[k] > level:
-            k += 1
-        if (mass := sum(lengths[first:k])) > best:
-            best, stretch = mass, at[first:k]
-        k = max(k, first + 1)
+        return [], -1, -1
+    first, last = stretch_of([lines[i][1] for i in at], window, surge)
+    stretch = at[first:last]
+    best = sum(lines[i][1] for i in stretch)
     held: dict[tuple, list[int]] = {}
     for i in stretch:
         for element in lines[i][2]:
@@ -174,30 +185,34 @@ def main_lines(lines: list[tuple[str, int, tuple]], window: int = WINDOW, surge:
     others = [e for e, n in held.items() if len(n) > 1 and sum(n) >= HOLDS * best]
     container = max(marked or others, default=None)
     if container and container[1] not in ("html", "body"):
-        return [lines[i][0] for i in at if container in lines[i][2]]
-    within = set(stretch)
-    return [lines[i][0] for i in at if i in within or lines[i][2][-1:] == ((container,) if container else ())]
+        kept = [lines[i][0] for i in at if container in lines[i][2]]
+    else:
+        within = set(stretch)
+        kept = [lines[i][0] for i in at if i in within or lines[i][2][-1:] == ((container,) if container else ())]
+    return kept, stretch[0], stretch[-1]
 
 
 def extract_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
-    return "\n\n".join(main_lines(lines_of(page), window, surge)) if page else ""
+    return "\n\n".join(main_lines(lines_of(page), window, surge)[0]) if page else ""
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", window: int = WINDOW, surge: float = SURGE) -> DataFrame:
-    """The main text of every page: ``id_col``, ``url_col``, text, n_chars (code points).
+    """The main text of every page: ``id_col``, ``url_col``, text, n_chars (code points),
+    and surge_line, dive_line: the page's lines where the heaviest stretch begins and ends.
 
-    Null, empty and text-free html gives an empty text and 0.  Very long pages are read
-    whole.  Repeated rows give repeated results, an empty table none; other columns,
-    whatever their names, are not read.
+    Null, empty and text-free html gives an empty text, 0 and lines -1.  Very long pages
+    are read whole; of equally heavy stretches the first counts.  Repeated rows give
+    repeated results, an empty table none; other columns, whatever their names, are not read.
     """
     types = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "html"):
-                texts = [extract_text(x, window, surge) for x in part.column("html").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["id", "url", "text", "n_chars"])
+                found = [main_lines(lines_of(x or ""), window, surge) for x in part.column("html").to_pylist()]
+                texts = ["\n\n".join(x[0]) for x in found]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), *(pa.array([x[k] for x in found], pa.int32()) for k in (1, 2))], names=["id", "url", "text", "n_chars", "surge", "dive"])
 
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
-    out = arrow_map(rows, run, f"id {types[id_col]}, url {types[url_col]}, text string, n_chars long")
-    return out.toDF(id_col, url_col, "text", "n_chars")
+    out = arrow_map(rows, run, f"id {types[id_col]}, url {types[url_col]}, text string, n_chars long, surge int, dive int")
+    return out.toDF(id_col, url_col, "text", "n_chars", "surge_line", "dive_line")

@@ -133,7 +133,9 @@ def test_line_block(spark, tag):
     want = "Title & x\n\nFirst paragraph is here, long enough to be text.\n\nSecond é.\n\nOf."
     assert lineblock.extract_text(PAGE % (tag, tag)) == want
     pages = spark.createDataFrame([(1, "u", PAGE % (tag, tag), 3), (2, None, None, 3), (3, "v", "", 3), (3, "v", "<p>", 3)], "page_id long, url string, html string, n_chars int")
-    got = sorted((r["page_id"], r["url"] or "", r["text"], r["n_chars"]) for r in lineblock.extract(pages).collect())
+    rows = lineblock.extract(pages).collect()
+    assert all((r["surge_line"] < 0) == (r["text"] == "") for r in rows)
+    got = sorted((r["page_id"], r["url"] or "", r["text"], r["n_chars"]) for r in rows)
     assert got == [(1, "u", want, len(want)), (2, "", "", 0), (3, "v", "", 0), (3, "v", "", 0)]
 
 
@@ -148,6 +150,35 @@ def test_line_block_chooses_the_text_among_marked_teasers():
         assert lineblock.extract_text(f"<html><body>{page}</body></html>").split("\n\n") == text
 
 
+def test_line_block_windows_decide_on_unmarked_pages():
+    """Every paragraph in an element of its own, short unnamed ones around and between."""
+    box = "<div><p>{}</p></div>".format
+    short = ["Popular", "Contact", "Places"]
+    body = [*map(str.strip, LONG[:3]), "A short line.", "And one more.", *map(str.strip, LONG[3:])]
+    page = "<html><body>" + "".join(map(box, [*short, *body, *short, "x"])) + "</body></html>"
+    assert lineblock.extract_text(page).split("\n\n") == ["Contact", "Places", *body]  # the windows of three reach two lines ahead
+    assert lineblock.extract_text(page, window=1).split("\n\n") == body[:3]
+    assert lineblock.extract_text(page, window=2, surge=0.02).split("\n\n") == body[4:]
+    assert lineblock.extract_text(page, surge=0.0).split("\n\n") == [*short, *body, *short, "x"]
+
+
+def test_line_block_stretches_by_brute_force():
+    r = random.Random(12)
+    for _ in range(500):
+        lengths = [r.choice((1, 2, 5, 40, 200)) for _ in range(r.randint(1, 25))]
+        window, surge = r.randint(1, 5), r.choice((0.0, 0.05, 0.3, 0.9))
+        sums = [sum(lengths[k : k + window]) for k in range(len(lengths))]
+        above = [s > surge * max(sums) for s in sums]
+        runs = [(a, b) for a in range(len(lengths)) for b in range(a + 1, len(lengths) + 1) if all(above[a:b]) and (a == 0 or not above[a - 1]) and (b == len(lengths) or not above[b])]
+        assert lineblock.stretch_of(lengths, window, surge) == max(runs, key=lambda x: (sum(lengths[x[0] : x[1]]), -x[0]))
+
+
+def test_line_block_of_long_pages(spark):
+    page = "<body><article>" + "<p>A line of the text.</p>" * 60_000 + "</article><p>After it.</p></body>"
+    rows = lineblock.extract(spark.createDataFrame([(1, "u", page, 0), (1, "u", page, 0)], "page_id long, url string, html string, surge_line int")).collect()
+    assert rows[0] == rows[1] and rows[0]["text"].count("A line of the text.") == 60_000 and "After" not in rows[0]["text"]
+
+
 @pytest.mark.parametrize("around", ["<div>%s</div>", "%s"])
 def test_line_block_keeps_the_whole_text(around):
     advert = "<div class=ad><p>Buy</p><p>this</p><p>now</p><p>here</p></div>"
