@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, coded, hashed, materialize, mixed, steps, words_of
+from tessera.llm.common import arrow_map, coded, hashed, materialize, mixed, release, steps, words_of
 from tessera.llm.components import components
 
 BLOCK_SETS, BLOCK_MEMBERS = 512, 150_000  # of one block
@@ -259,6 +259,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     nothing.  Repeated rows are kept and share a component.  Very long texts are compared
     whole.  An empty table gives no rows; other columns are not read.  Members are 64-bit
     hashes: two different shingles count as one with a chance of 2**-64 for each pair.
+    A null id is an id like others.
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     rows = rows.select("id", "text", F.monotonically_increasing_id().alias("row"), F.xxhash64("id").alias("key"))
@@ -275,6 +276,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     again = _sets(rows, params, lowest=False, bits=bits)
     sets = again.join(unsettled, ["f1", "f2"]).filter(F.col("id").eqNullSafe(F.col("least_id"))).dropDuplicates(["f1", "f2"]).select("class", "n", "members")
     sets = materialize(sets, "op8-sets")
+    release(unsettled)
     members = sets.select("class", "n", F.explode("members").alias("h"))
     df = members.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     mine = members.join(df, "h").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
@@ -284,7 +286,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     center = prefix.groupBy("h").agg(F.min("class").alias("center"), F.count("*").alias("size")).filter("size > 1")
     families = components(prefix.join(center, "h").filter("class <> center").select("class", "center").distinct(), "class", "center")
     families = materialize(sets.join(families.select(F.col("node").alias("class"), F.col("root").alias("family")), "class"), "op8-families")
+    release(prefix)
+    release(sets)
     links = materialize(_family_links(families, params), "op8-links")
+    release(families)
     roots = components(links, "a", "b").select(F.col("node").alias("class"), "root")
     joined = classes.join(roots, "class", "left").select("f1", "f2", "least_id", F.coalesce("root", "class").alias("root"))
     least = joined.groupBy("root").agg(F.min("least_id").alias("component"))
