@@ -261,7 +261,13 @@ def fit(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
         w, tr, lx = fit_part(windows(pdf["text"], pdf["id"]), np.array([labels.index(x) for x in pdf["lang"]]), n, lexicon)
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "w": [w.astype(np.float32).tobytes()], "tr": [tr.astype(np.float32).tobytes()], "lx": [lx.astype(np.float32).tobytes()]})
 
-    parts = sample.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).select("part", "id", "text", "lang").groupBy("part").applyInPandas(train, "part int, w binary, tr binary, lx binary").orderBy("part").collect()
+    def train_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        for _, part in pd.concat(held).groupby("part") if held else ():
+            yield train(part)
+
+    dealt = sample.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).select("part", "id", "text", "lang").repartitionByRange(PARTS, "part")  # ranges, so that no two parts share a task
+    parts = dealt.mapInPandas(train_parts, "part int, w binary, tr binary, lx binary").orderBy("part").collect()
     mean = lambda k, *shape: np.mean([np.frombuffer(p[k], np.float32).reshape(shape) for p in parts], axis=0)
     return CrfModel(labels, mean("w", BUCKETS, n), mean("tr", n, n), pa.array(list(lexicon), pa.large_binary()), np.array(list(lexicon.values()), np.int64), mean("lx", n))
 
@@ -273,9 +279,12 @@ def predict(docs: DataFrame, model: CrfModel | None, *, id_col: str = "doc_id",
     1; ties go to the first language in order).  Null, empty and letter-free texts, and
     all texts without a model, are ``und`` with score 0.  With ``spans``, also the runs
     of words of one language (array of first, last, lang).  Very long texts are labelled
-    whole; repeated rows alike; an empty table gives no rows.
+    whole; repeated rows alike; an empty table gives no rows.  Columns that aren't kept are
+    not read; to keep one with the name of a result is an error.
     """
     keep = keep or []
+    if clash := {"lang_pred", "score", *["spans"] * spans} & {id_col, *keep}:
+        raise ValueError(f"kept columns have names of the result: {sorted(clash)}")
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     span_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("lang", pa.string())]))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x labels weights and the sample's lexicon

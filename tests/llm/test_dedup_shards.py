@@ -98,6 +98,13 @@ def test_jaccard_empty_and_repeated(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in twice) == [(0, 2, 0), (0, 2, 0), (1, 0, 1), (1, 0, 1)]
 
 
+def test_jaccard_of_long_texts(spark):
+    long = text(40_000).split()
+    near = [*long[:15_000], "zz", *long[15_001:]]
+    docs = docs_of(spark, [" ".join(x) for x in (long, near, long[:20_000], near)])
+    assert sorted((r["doc_id"], r["component_id"]) for r in jaccard_join.near_duplicates(docs).collect()) == [(0, 0), (1, 0), (2, 2), (3, 0)]
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (5, 5), (1, 2)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
@@ -359,3 +366,17 @@ def test_pipeline_stages_by_brute_force(spark, tmp_path):
     assert set(last.index) == set(fourth["doc_id"])
     n, _, _ = bpe.coder(bpe.default_path()).encode(pa.array(list(fourth["text"])))
     assert list(last.loc[fourth["doc_id"], "n_tokens"]) == list(n)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    spark.createDataFrame([(0, "a test question of some words.\nand its answer")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = docs_of(spark, [text(30) for _ in range(30)])
+    odd = spark.createDataFrame([(None, text(20), None, None, None, None), (5, text(25), None, "s", 3, "r"), (7, text(9), "en", "s", 3, "r")], docs.schema)
+    docs = docs.unionByName(odd).unionByName(odd)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    first = corpus_pipeline.identify_language(spark, docs, str(tmp_path)).collect()
+    assert len(first) == 36 and sum(r["doc_id"] is None for r in first) == 2
+    second = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()
+    # repeated rows became one; two texts under one id stayed
+    assert len(second) == 33 and sum(r["doc_id"] is None for r in second) == 1 and sum(r["doc_id"] == 5 for r in second) == 2

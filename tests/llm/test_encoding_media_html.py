@@ -38,6 +38,15 @@ def test_bpe_equals_library(spark):
     assert bpe.encode_decode(frame(spark, TEXTS).limit(0)).count() == 0
 
 
+def test_bpe_of_long_texts(spark):
+    from tokenizers import Tokenizer
+
+    long = "It's a very long, very long text: naïve\n\n  tabs\tand 日本. " * 20_000
+    want = Tokenizer.from_file(bpe.default_path()).encode(long, add_special_tokens=False).ids
+    rows = bpe.encode_decode(frame(spark, [long, None, long]), keep=["id"]).collect()
+    assert [(r["n_tokens"], r["ids_sha256"]) for r in rows if r["doc_id"] != 1] == [(len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest())] * 2
+
+
 def test_no_cut_pair_is_inside_a_token():
     b = bpe.coder(bpe.default_path())
     for raw in b.bytes_of:
@@ -188,7 +197,7 @@ def test_line_block_keeps_the_whole_text(around):
     assert lineblock.extract_text(page).split("\n\n") == [*lead, *(t.strip() for t in LONG)]
 
 
-URLS = ["http://A.example.com/en/71?x", "https://b.com/en/1", "http://c.net/de/#x", "http://example.net/de/8", "ftp://d.org/es/2", "http://com/en/", "http://e.com", None, "", "no scheme", "http://x.fr/aé日/", "http://b.com/en/1"] + [f"http://h{i}.example.{t}/{lang}/{i}" for i in range(60) for t in ("com", "net", "org") for lang in ("en", "de", "fr")]
+URLS = ["http://A.example.com/en/71?x", "https://b.com/en/1", "http://c.net/de/#x", "http://example.net/de/8", "ftp://d.org/es/2", "http://com/en/", "http://e.com", None, "", "no scheme", "http://x.fr/aé日/", "http://b.com/en/1", "http://long.example.org/es/" + "ab/" * 2000] + [f"http://h{i}.example.{t}/{lang}/{i}" for i in range(60) for t in ("com", "net", "org") for lang in ("en", "de", "fr")]
 
 
 def test_url_filter_matches_sql(spark):
