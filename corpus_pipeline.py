@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all that its
 predecessor kept, and its result is written and read again before the next one.  All but
 the last return the columns of ``documents``.
+
+An empty table stays empty.  Null and empty texts go with the first stage.  A null lang is
+not learned from; a null doc_id is an id like others; columns beside those of ``documents``
+are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,10 +49,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @shielded
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the least id stays."""
+    """Of each component of near duplicates the document with the least id stays.
+
+    Rows of one id are one document here: texts that differ stay together when one of them
+    is its component's least, repeated rows become one.  Only rows of repeated ids are
+    shuffled for that.
+    """
     groups = jaccard_join.near_duplicates(docs, params=jaccard_join.Params(shingle=5, percent=80))
-    stay = groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates()
+    stay = groups.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.max(F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("__stays")).filter("__stays")
+    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")))
+    return kept.filter("__n = 1").select(*docs.columns).unionByName(kept.filter("__n > 1").select(*docs.columns).dropDuplicates())
 
 
 @shielded
