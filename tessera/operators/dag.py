@@ -74,7 +74,8 @@ def inputs_outputs(access: DataFrame, is_reset: DataFrame | None = None) -> tupl
 
 def degrees(dep: DataFrame) -> DataFrame:
     """task_id, parents, children of every task of an edge."""
-    ends = dep.select("task_id", F.lit(1).alias("p"), F.lit(0).alias("c")).unionAll(dep.select("dep_id", F.lit(0), F.lit(1)))
+    end = lambda c, p: F.struct(F.col(c).alias("task_id"), F.lit(p).alias("p"), F.lit(1 - p).alias("c"))
+    ends = dep.select(F.inline(F.array(end("task_id", 1), end("dep_id", 0))))  # each edge is made once
     return ends.groupBy("task_id").agg(F.sum("p").alias("parents"), F.sum("c").alias("children"))
 
 
@@ -152,8 +153,8 @@ def difference(manual: DataFrame, inferred: DataFrame) -> DataFrame:
 
 
 def both_ways(dep: DataFrame) -> DataFrame:
-    pair = dep.select("task_id", "dep_id")
-    return pair.union(pair.select(F.col("dep_id"), F.col("task_id"))).distinct()
+    way = lambda a, b: F.struct(F.col(a).alias("task_id"), F.col(b).alias("dep_id"))
+    return dep.select(F.inline(F.array(way("task_id", "dep_id"), way("dep_id", "task_id")))).distinct()
 
 
 def pruned(dep: DataFrame, allowed: DataFrame) -> DataFrame:

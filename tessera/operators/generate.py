@@ -18,7 +18,7 @@ def buffer(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).withColumnRenamed("id", "i")
 
 
-def buffers(spark: SparkSession, n: int, **columns: Column) -> DataFrame:
+def buffers(spark: SparkSession, n: int, /, **columns: Column) -> DataFrame:
     """Generated columns beside each other: one projection over one range."""
     return buffer(spark, n).select("i", *[c.alias(name) for name, c in columns.items()])
 

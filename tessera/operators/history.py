@@ -19,7 +19,9 @@ def kernel_stats(trace: DataFrame, *keys: str) -> DataFrame:
 
 def kernel_report(trace: DataFrame) -> DataFrame:
     """Per kernel and over all (kernel null): count, time and bytes of each kind."""
-    return trace.rollup("kernel").pivot("kind", ["kernel", "h2d", "d2h", "d2d"]).agg(F.count("*").alias("n"), F.sum("duration").alias("time"), F.sum("size").alias("bytes"))
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    cells = [f for k in ("kernel", "h2d", "d2h", "d2d") for f in (F.count(of(k, F.lit(1))).alias(f"{k}_n"), F.sum(of(k, F.col("duration"))).alias(f"{k}_time"), F.sum(of(k, F.col("size"))).alias(f"{k}_bytes"))]
+    return trace.rollup("kernel").agg(*cells)
 
 
 def makespan(trace: DataFrame, *keys: str) -> DataFrame:

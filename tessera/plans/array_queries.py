@@ -241,7 +241,7 @@ def tile_counts(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", linalg.tile_count(F.col("p_size"), 16).cast("int").alias("tiles"))
 
 
-@query("matrix_lines", "SELECT vec_id AS i, array_to_string(list_transform(embedding, lambda v: format('{:.0f}', round(v::DOUBLE * 1000))), ' ') AS line FROM embeddings")
+@query("matrix_lines", "SELECT vec_id AS i, array_to_string(list_transform(embedding, lambda v: CAST(round(v::DOUBLE * 1000) AS BIGINT)), ' ') AS line FROM embeddings")
 def matrix_lines(spark, sf_dir):
     return linalg.print_rows(_matrix(spark, sf_dir), 0)
 

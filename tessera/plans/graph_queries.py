@@ -84,7 +84,7 @@ def parallelism(spark, sf_dir):
     return dag.parallelism(dag.levels(*chains(spark, sf_dir))).withColumn("mean_width", F.round("mean_width", 6))
 
 
-@query("graph_sizes", "SELECT conv_id % 7 AS graph, count(*) AS tasks, count(*) FILTER (turn > 0) AS edges, max(turn) + 1 AS height, (SELECT max(n) FROM (SELECT conv_id % 7 AS g, turn, count(*) AS n FROM conversations GROUP BY 1, 2) x WHERE x.g = c.conv_id % 7) AS widest FROM conversations c GROUP BY 1")
+@query("graph_sizes", "WITH w AS (SELECT conv_id % 7 AS g, turn, count(*) AS n FROM conversations GROUP BY 1, 2), m AS (SELECT g, max(n) AS widest FROM w GROUP BY 1), s AS (SELECT conv_id % 7 AS graph, count(*) AS tasks, count(*) FILTER (turn > 0) AS edges, max(turn) + 1 AS height FROM conversations GROUP BY 1) SELECT s.*, widest FROM s JOIN m ON g = graph")
 def graph_sizes(spark, sf_dir):
     """The largest sizes of each graph's matrices."""
     task, dep = chains(spark, sf_dir)
