@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from tessera.llm.common import arrow_map, steps, text_bytes
 
 #: Bytes that the fragments a task remembers may take, about; only speed depends on it.
-REMEMBERED = 16 << 20
+REMEMBERED = 48 << 20
 EACH = 400  # bytes of one remembered fragment beside its own, its ids and its decoded bytes
-STEP = 1 << 20
+STEP = 2 << 20
 
 
 def default_path() -> str:

@@ -32,6 +32,7 @@ BUCKETS = 1 << 15
 PARTS = 4
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 STEP = 1 << 20
+REMEMBERED = 150_000  # words whose emissions a task holds; only speed depends on it
 
 
 def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,6 +95,31 @@ class CrfModel:
         return out.astype(np.float32), letters
 
 
+class Emissions:
+    """Emissions of words, remembered for a task's later texts."""
+
+    def __init__(self, crf: CrfModel):
+        self.crf = crf
+        self.forget()
+
+    def forget(self) -> None:
+        self.words = pa.array([], pa.large_binary())
+        self.scores, self.letters = self.crf.emissions(self.words)
+
+    def of(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.words) > REMEMBERED:
+            self.forget()
+        at = pc.fill_null(pc.index_in(distinct, self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = len(self.words) + np.arange(len(new))
+            fresh = distinct.take(pa.array(new))
+            scores, letters = self.crf.emissions(fresh)
+            self.words = pa.concat_arrays([self.words, fresh])
+            self.scores, self.letters = np.concatenate([self.scores, scores]), np.append(self.letters, letters)
+        return self.scores[at], self.letters[at]
+
+
 def in_lexicon(words: pa.Array, lexicon: pa.Array, label: np.ndarray) -> np.ndarray:
     """The lexicon's label of each word, or -1."""
     at = pc.fill_null(pc.index_in(words, lexicon), -1).to_numpy(zero_copy_only=False)
@@ -291,13 +317,14 @@ def predict(docs: DataFrame, model: CrfModel | None, *, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value
+        known = Emissions(crf) if crf is not None else None
         for batch in batches:
             for part in steps(batch, "__text", STEP):
                 langs, scores, runs = ["und"] * part.num_rows, np.zeros(part.num_rows), [[] for _ in range(part.num_rows)]
                 if crf is not None:
                     words, ends = words_of(part.column("__text"))
                     codes, distinct = coded(words)
-                    emissions, letters = crf.emissions(distinct)
+                    emissions, letters = known.of(distinct)
                     lengths = np.diff(ends)
                     some = np.flatnonzero(lengths)
                     if len(some):

@@ -188,7 +188,7 @@ def maximal_groups(rights: list[bytes], lefts: list[bytes], side: int, width: in
 
 
 def _scan(docs: DataFrame, params: Params) -> DataFrame:
-    """row, id, n_bytes, t1, t2, sha (of the text), n, f1, f2, grams (of its symbols): what the first reading keeps."""
+    """row, id, n_bytes, t1, t2, sha (of the text; null with words), n, f1, f2, grams (of its symbols): what the first reading keeps."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +207,7 @@ def _scan(docs: DataFrame, params: Params) -> DataFrame:
                     grams.append(h[anchors(h, params.side + 1)].view(np.int64))
                 bounds = pa.array(np.append(0, np.cumsum([len(g) for g in grams])).astype(np.int32))
                 pairs = lambda p: [pa.array([x[k] for x in p], pa.int64()) for k in (0, 1)]
-                cols = [part.column("row"), part.column("id"), pa.array(np.diff(ends)), *pairs(own), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(np.diff(cuts)), *pairs(prints), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(grams)))]
+                cols = [part.column("row"), part.column("id"), pa.array(np.diff(ends)), *pairs(own), pa.array([None if params.words else hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(np.diff(cuts)), *pairs(prints), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(grams)))]
                 yield pa.RecordBatch.from_arrays(cols, names=["row", "id", "n_bytes", "t1", "t2", "sha", "n", "f1", "f2", "grams"])
 
     return arrow_map(docs, run, f"row long, id {id_type}, n_bytes long, t1 long, t2 long, sha string, n long, f1 long, f2 long, grams array<long>")
@@ -233,15 +233,19 @@ def _occurrences(docs: DataFrame, params: Params, doc_bits: np.ndarray, gram_bit
         doc_bits, gram_bits, hot_bits = shared.value
         for batch in batches:
             for part in steps(batch, "text", STEP):
+                texts, cuts = text_bytes(part.column("text"))
+                texts = texts.tobytes()
+                own = np.fromiter((fingerprint(texts[a:b])[0] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)), np.int64, part.num_rows)
+                part = part.filter(pa.array(_has(doc_bits, part.column("key").to_numpy(zero_copy_only=False) ^ own)))
                 raw, ends = symbols_of(part.column("text"), params)
-                data, ids = raw.tobytes(), part.column("key").to_numpy(zero_copy_only=False)
+                data = raw.tobytes()
                 alike: dict[tuple, list[tuple[int, int, int]]] = defaultdict(list)
                 done = set()
-                for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                     if b - a < params.length:
                         continue
                     f1, f2 = fingerprint(data[a * w : b * w])
-                    if (f1, f2) in done or not _has(doc_bits, ids[i : i + 1] ^ np.int64(f1))[0]:
+                    if (f1, f2) in done:
                         continue
                     done.add((f1, f2))
                     h = gram_hashes(raw[a:b], k)
@@ -356,11 +360,11 @@ def _indexed(docs: DataFrame, id_col: str, text_col: str, params: Params, **read
     scanned = materialize(_scan(rows.select("row", "id", "text"), params), "op10-scan")
     classes = scanned.filter(F.col("n") >= params.length).groupBy("f1", "f2").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
     classes = materialize(classes, "op10-classes")
-    firsts = scanned.select("row", "id", "f1", "grams").join(classes.select("row"), "row", "left_semi")
+    firsts = scanned.select("row", "id", "t1", "grams").join(classes.select("row"), "row", "left_semi")
     found = materialize(firsts.select("row", F.explode("grams").alias("h")), "op10-grams")
     again = materialize(found.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1"), "op10-again")
     holders = found.join(again, "h", "left_semi").select("row").distinct()
-    keys = materialize(firsts.join(holders, "row", "left_semi").select(F.expr("f1 ^ xxhash64(id)").alias("key")), "op10-keys")
+    keys = materialize(firsts.join(holders, "row", "left_semi").select(F.expr("t1 ^ xxhash64(id)").alias("key")), "op10-keys")
     release(found)
     doc_bits = _filter_bits(keys, keys.count())
     release(keys)
