@@ -53,6 +53,11 @@ def flush_tasks(access: DataFrame) -> DataFrame:
     return access.filter(_writes()).groupBy("mem_id").agg(F.max_by("task_id", F.struct("seq", "task_id")).alias("task_id"))
 
 
+def flush_out(cells: DataFrame, access: DataFrame, path: str) -> None:
+    """Write the cells (with mem_id) of the buffers that a task wrote; buffers only read stay where they are."""
+    cells.join(access.filter(_writes()).select("mem_id").distinct(), "mem_id", "left_semi").select(*cells.columns).write.parquet(path)
+
+
 def shadow_versions(access: DataFrame) -> DataFrame:
     """The buffer version each access uses when every write gets a buffer of its own."""
     version = F.col("epoch") + F.when(_writes(), 1).otherwise(0)

@@ -13,10 +13,11 @@ def rows_to_matrix(df: DataFrame, i: str, values: str) -> DataFrame:
     return df.select(F.col(i).alias("i"), F.posexplode(values).alias("j", "v"))
 
 
-def gemm(a: DataFrame, b: DataFrame) -> DataFrame:
-    """i, j, v of the product; zeros that are not stored stay unstored."""
+def gemm(a: DataFrame, b: DataFrame, times: int = 1) -> DataFrame:
+    """i, j, v of the product, taken ``times`` over; zeros that are not stored stay unstored."""
     left, right = a.select("i", F.col("j").alias("k"), F.col("v").alias("x")), b.select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
-    return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+    total = F.sum(F.col("x") * F.col("y"))
+    return left.join(right, "k").groupBy("i", "j").agg((total if times == 1 else total * times).alias("v"))
 
 
 def gram(df: DataFrame, values: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import kernels
 from tessera.functions.kernels import launch
 from tessera.functions.types import byte_width, divided, element, wrapped
+from tessera.graph import Graph
 from tessera.lineage import shared_dir
 from tessera.operators import generate, linalg
 from tessera.plans.registry import query, read
@@ -254,6 +255,29 @@ def inner_loop(spark, sf_dir):
     return _keys(looped, F.col("v").cast("long").alias("v"))
 
 
+@query("gemm_repeated", f"WITH {M_SQL} SELECT m.i, g.j, (3 * sum(m.v * g.v))::BIGINT AS v FROM m JOIN g ON m.j = g.i GROUP BY 1, 2")
+def gemm_repeated(spark, sf_dir):
+    """The sum of each cell taken several times over."""
+    return linalg.gemm(_matrix(spark, sf_dir), linalg.gram(_rows(spark, sf_dir), "embedding"), times=3)
+
+
+def _flow(spark, sf_dir):
+    buffers = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), F.col("o_custkey").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c"))
+    flow = Graph(buffers).task("scale", "scale", "b", "a", factor=20).task("sum", "add", "c", "a", "b")
+    return flow.task("late", "increment", "b", "b", where=kernels.index_range(F.col("i"), 100), by=5).task("again", "add", "c", "c", "b")
+
+
+@query("graph_run", "SELECT o_orderkey AS i, o_custkey AS a, b, o_custkey * 21 + b AS c FROM (SELECT *, o_custkey * 20 + CASE WHEN o_orderkey >= 100 THEN 5 ELSE 0 END AS b FROM orders)")
+def graph_run(spark, sf_dir):
+    """Four tasks over three buffers by the front end."""
+    return _flow(spark, sf_dir).run()
+
+
+@query("graph_needs", "SELECT * FROM (VALUES ('sum', 'scale', 'raw'), ('late', 'scale', 'raw'), ('late', 'sum', 'war'), ('again', 'sum', 'raw'), ('again', 'late', 'raw')) t(task, needs, kind)")
+def graph_needs(spark, sf_dir):
+    return _flow(spark, sf_dir).dependencies()
+
+
 @query("buffer_copy", f"SELECT {LK}, l_quantity AS copied, l_quantity + l_tax AS added FROM lineitem")
 def buffer_copy(spark, sf_dir):
     df = launch(_lines(spark, sf_dir), "copy", "copied", "l_quantity")

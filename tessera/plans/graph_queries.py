@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tessera.lineage import shared_dir
 from tessera.operators import coherence, dag, generate, graphcost, policy, report
 from tessera.plans.registry import query, read
 from tessera.sources import graph_json
@@ -46,6 +49,22 @@ def flush_tasks(spark, sf_dir):
     return dag.flush_tasks(access(spark, sf_dir))
 
 
+@query("flushed_buffers", "SELECT event_id AS i, user_id AS mem_id, value AS v FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type NOT IN ('view', 'click'))")
+def flushed_buffers(spark, sf_dir):
+    """The cells of buffers that some task wrote, brought out to files and read back."""
+    path = f"{shared_dir(spark)}/flushed-{uuid.uuid4().hex}"
+    cells = read(spark, sf_dir, "events").select(F.col("event_id").alias("i"), F.col("user_id").alias("mem_id"), F.col("value").alias("v"))
+    dag.flush_out(cells, access(spark, sf_dir), path)
+    return spark.read.schema(cells.schema).parquet(path)
+
+
+@query("distinct_sets", "SELECT user_id % 4 AS devno, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kernels, count(DISTINCT user_id) AS buffers FROM events GROUP BY 1")
+def distinct_sets(spark, sf_dir):
+    """What each device has ever run, and on how many buffers."""
+    e = read(spark, sf_dir, "events").groupBy((F.col("user_id") % 4).alias("devno"))
+    return e.agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kernels"), F.countDistinct("user_id").alias("buffers"))
+
+
 @query("shadow_versions", f"WITH {EPOCH_SQL} SELECT task_id, seq, mem_id, mode, CASE WHEN mode <> 'w' THEN epoch END AS reads, CASE WHEN mode <> 'r' THEN epoch + 1 END AS writes FROM log")
 def shadow_versions(spark, sf_dir):
     return dag.shadow_versions(access(spark, sf_dir))
