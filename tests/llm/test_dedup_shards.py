@@ -334,6 +334,8 @@ def test_sharding_keeps_equal_texts_together(spark):
 
 def test_pipeline_stages_by_brute_force(spark, tmp_path):
     texts = corpus() + ["123 456 --- 789"]
+    short = " ".join(f"k{i}" for i in range(55))  # over 50 words in fewer than 400 bytes
+    texts += [f"{text(30)} {short} {text(20)}" for _ in range(2)]
     items = [text(30) + ".\n" + text(8) for _ in range(4)]
     texts += [f"{text(40)} {items[1]} {text(30)}"]
     docs = docs_of(spark, texts).withColumnRenamed("row", "score")  # an extra column whose name clashes
