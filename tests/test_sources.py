@@ -13,10 +13,10 @@ store,Kernel,2.0,3.0,1.0,64,sdq,Other 1
 
 
 def test_trace_files(spark, tmp_path):
-    (tmp_path / "linear10-sdq-zenith.csv").write_text(TRACE)
+    (tmp_path / "linear10-sdq-hostb.csv").write_text(TRACE)
     trace = trace_csv.read_trace(spark, str(tmp_path))
     got = sorted((r["taskname"], r["dag"], r["schedule"], r["system"], r["device"], r["devno"], r["size"]) for r in trace.collect())
-    assert got == [("Internal-copy of load", "linear10", "sdq", "zenith", "Some Device", 0, None), ("load", "linear10", "sdq", "zenith", "Some Device", 0, 64), ("store", "linear10", "sdq", "zenith", "Other", 1, 64)]
+    assert got == [("Internal-copy of load", "linear10", "sdq", "hostb", "Some Device", 0, None), ("load", "linear10", "sdq", "hostb", "Some Device", 0, 64), ("store", "linear10", "sdq", "hostb", "Other", 1, 64)]
     out = str(tmp_path / "out")
     trace_csv.write_trace(trace, out)
     assert trace_csv.read_trace(spark, out).count() == 3
