@@ -214,3 +214,15 @@ def test_url_filter_matches_sql(spark):
     assert by[0] == ("a.example.com", "/en/71", "example.com/en/7", "allow") and by[7][:2] == ("", "")
     assert by[3][2:] == ("example.net/de/8", "block") and by[5][2] == "com/en/"
     assert url_lm.url_filter(pages.limit(0)).count() == 0
+
+
+def test_url_rules_say_what_the_contract_lists(spark):
+    says = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    urls = {"http://a.com/en/1": "com/en/", "http://example.com/en/7": "example.com/en/7", "http://a.example.net/de/7": "net/de/", "https://net/de/": "net/de/", "http://b.example.net/de/8": "example.net/de/8", "http://c.org/es/1": "org/es/"}
+    assert dict(url_lm.RULES) == says
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    want = [(i, rule, says[rule]) for i, rule in enumerate(urls.values())]
+    assert sorted(tuple(r) for r in url_lm.url_filter(pages).select("page_id", "rule", "verdict").collect()) == want
+    assert con.execute(f"SELECT page_id, rule, verdict FROM ({url_lm.oracle()}) ORDER BY 1").fetchall() == want
