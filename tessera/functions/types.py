@@ -56,7 +56,23 @@ def wrapped(col: Column, kind: ElementType) -> Column:
     number = (lambda x: F.expr(f"cast('{x}' as decimal(38,0))")) if kind.bits == 64 else F.lit
     low = (1 << (kind.bits - 1)) if kind.signed else 0
     value = col.cast("decimal(38,0)") if kind.bits == 64 else col
-    return (F.pmod(value + number(low), number(1 << kind.bits)) - number(low)).cast(kind.spark)
+    size = number(1 << kind.bits)
+    # the first pmod leaves room for adding, at both ends of the column's type
+    return (F.pmod(F.pmod(value, size) + number(low), size) - number(low)).cast(kind.spark)
+
+
+def wrapped_product(kind: ElementType, first: Column, *others: Column) -> Column:
+    """The product of whole numbers in the range of ``kind``, wrapped after each factor.
+
+    Signed factors of b bits have a product of 2 b - 1: a long holds it up to 32 bits, a
+    decimal of 38 digits at 64, so factors of any size raise no overflow.
+    """
+    signed = element(f"int{max(kind.bits, 32)}")
+    step = lambda c: wrapped(c, signed).cast("decimal(38,0)" if signed.bits == 64 else "long")
+    total = step(first)
+    for factor in others:
+        total = step(total * step(factor))
+    return wrapped(total, kind)
 
 
 def divided(a: Column, b: Column, kind: ElementType) -> Column:

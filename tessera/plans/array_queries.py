@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import kernels
 from tessera.functions.kernels import launch
-from tessera.functions.types import byte_width, divided, element, wrapped
+from tessera.functions.types import byte_width, divided, element, wrapped, wrapped_product
 from tessera.graph import Graph
 from tessera.lineage import shared_dir
 from tessera.operators import generate, linalg
@@ -50,7 +50,7 @@ def integer_division(spark, sf_dir):
 
 @query("wrapping_product", f"SELECT {LK}, CAST(((l_orderkey * l_partkey * 1000003 + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648 AS INTEGER) AS w FROM lineitem")
 def wrapping_product(spark, sf_dir):
-    return _keys(_lines(spark, sf_dir), wrapped(F.col("l_orderkey") * F.col("l_partkey") * 1000003, element("int32")).alias("w"))
+    return _keys(_lines(spark, sf_dir), wrapped_product(element("int32"), F.col("l_orderkey"), F.col("l_partkey"), F.lit(1000003)).alias("w"))
 
 
 @query("dataflow_abc", "SELECT o_orderkey AS i, o_orderkey * 20 AS bc FROM orders")
@@ -305,7 +305,7 @@ def fetch_prefix(spark, sf_dir):
 @query("typed_widths", "SELECT p_partkey, CAST((p_partkey * 37 + 128) % 256 - 128 AS TINYINT) AS a, CAST(p_partkey * 3700 % 65536 AS INTEGER) AS b, CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 8 END::INTEGER AS width FROM part")
 def typed_widths(spark, sf_dir):
     names = F.element_at(F.array(*map(F.lit, ["char", "int", "double", "no type"])), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return read(spark, sf_dir, "part").select("p_partkey", wrapped(F.col("p_partkey") * 37, element("int8")).alias("a"), wrapped(F.col("p_partkey") * 3700, element("uint16")).alias("b"), byte_width(names).alias("width"))
+    return read(spark, sf_dir, "part").select("p_partkey", wrapped_product(element("int8"), F.col("p_partkey"), F.lit(37)).alias("a"), wrapped_product(element("uint16"), F.col("p_partkey"), F.lit(3700)).alias("b"), byte_width(names).alias("width"))
 
 
 @query("host_task", "SELECT p_partkey, CAST(p_size AS BIGINT) * 7 + length(p_name) AS v FROM part")

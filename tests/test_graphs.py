@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions.types import element, wrapped, wrapped_product
 from tessera.operators import dag, generate, history, linalg, policy, ranges
+from tessera.plans import array_queries
 
 ACCESS = "task_id long, seq long, mem_id long, mode string"
 #: access log, expected (task, dependency, kind)
@@ -153,3 +155,23 @@ def test_generators(spark):
     ends = drawn.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     assert -1 <= ends["lo"] < ends["hi"] < 1
     assert values(drawn) == values(generate.uniform(spark, 1000, -1.0, 1.0, 5))
+
+
+def test_wrapped_products_of_large_factors(spark):
+    top, low = 2**63 - 1, -(2**63)
+    cells = [(9_000_000, 1_200_000), (top, top), (low, low), (low, 3), (-7, 5), (0, top), (2**40 + 3, -(2**33) - 1), (None, 4)]
+    kinds = {"int8": 8, "int32": 32, "uint32": 32, "uint16": 16, "int64": 64, "uint64": 64}
+    a, b = F.col("a"), F.col("b")
+    got = spark.createDataFrame(cells, "a long, b long").select("a", "b", wrapped(a, element("int32")).alias("one"), *[wrapped_product(element(k), a, b, F.lit(1000003)).alias(k) for k in kinds]).collect()
+    for r, (x, y) in zip(got, cells, strict=True):
+        fold = lambda v, bits, signed: None if v is None else (v + signed * 2 ** (bits - 1)) % 2**bits - signed * 2 ** (bits - 1)
+        product = None if x is None else x * y * 1000003
+        assert r["one"] == fold(x, 32, 1)
+        assert [r[k] if r[k] is None else int(r[k]) for k in kinds] == [fold(product, bits, not k.startswith("u")) for k, bits in kinds.items()]
+
+
+def test_wrapping_product_query_on_large_keys(spark, tmp_path):
+    lines = spark.createDataFrame([(9_000_000, 1_200_000, 1, 1), (5, 7, 1, 2)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = {(k * p * 1000003 + 2**31) % 2**32 - 2**31 for k, p in ((9_000_000, 1_200_000), (5, 7))}
+    assert {r["w"] for r in array_queries.wrapping_product(spark, str(tmp_path)).collect()} == want
