@@ -28,20 +28,35 @@ def gram(df: DataFrame, values: str) -> DataFrame:
     return pairs.groupBy(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.sum(F.col("x") * F.col("y")).alias("v"))
 
 
+LANE = 64  # tile rows or columns that are multiplied in one group
+
+
 def blocked_gemm(a: DataFrame, b: DataFrame, tile: int) -> DataFrame:
-    """The product by tiles: each side is gathered into tiles of ``tile`` squared numbers,
-    tiles are joined on the inner tile index, and only tile products are summed.  The
-    shuffle moves each number once a tile of the other side, not once a number."""
+    """The product by tiles, in doubles: each side is gathered into strips of ``tile`` numbers,
+    joined on the inner tile index, and only the sums of strips are shuffled.
+
+    ``LANE`` tile rows of the left side and as many tile columns of the right one make a
+    group of the join, so that a group and a task have a bound whatever the matrices' shapes.
+    The shuffle moves each number once a lane of the other side.  Cells given twice count
+    as their sum; a cell without a product is not stored.
+    """
     t = lambda c: F.floor(F.col(c) / tile).cast("long")
-    cell = F.struct((F.col("j") % tile).alias("c"), "v")
-    rows = a.groupBy(t("i").alias("ti"), t("j").alias("tk"), "i").agg(F.collect_list(cell).alias("row"))
-    left = rows.groupBy("ti", "tk").agg(F.collect_list(F.struct("i", "row")).alias("rows"))
-    b = b.withColumnsRenamed({"i": "k"})
-    columns = b.groupBy(t("k").alias("tk"), t("j").alias("tj"), "j").agg(F.map_from_entries(F.collect_list(F.struct((F.col("k") % tile).alias("c"), "v"))).alias("col"))
-    right = columns.groupBy("tk", "tj").agg(F.collect_list(F.struct("j", "col")).alias("cols"))
-    pairs = left.join(right, "tk").select(F.explode("rows").alias("r"), "cols").select("r.*", F.explode("cols").alias("s")).select("i", "row", "s.j", "s.col")
-    dot = F.aggregate("row", F.lit(0.0), lambda total, x: total + x["v"] * F.coalesce(F.try_element_at("col", x["c"]), F.lit(0.0)))
-    return pairs.groupBy("i", "j").agg(F.sum(dot).alias("v"))
+    lane = lambda c: F.floor(F.col(c) / (tile * LANE)).cast("long")
+    strip = lambda c: F.array(*[F.sum(F.when(F.pmod(F.col(c), F.lit(tile)) == k, F.col("v").cast("double"))) for k in range(tile)])
+    left = a.groupBy("i", t("j").alias("tk")).agg(strip("j").alias("row")).withColumn("la", lane("i"))
+    columns = b.withColumnsRenamed({"i": "k"}).groupBy(t("k").alias("tk"), "j").agg(strip("k").alias("col"))
+    place = F.map_from_entries(F.collect_list(F.struct(F.pmod(F.col("j"), F.lit(tile)).cast("int").alias("c"), "col")))
+    right = columns.groupBy("tk", t("j").alias("tj")).agg(place.alias("cols")).withColumn("lb", F.floor(F.col("tj") / LANE).cast("long"))
+    right = right.withColumn("cols", F.transform(F.sequence(F.lit(0), F.lit(tile - 1)), lambda c: F.try_element_at("cols", c)))
+    # a row a lane: broadcast, so that no side is shuffled by the inner index alone
+    left = left.crossJoin(F.broadcast(b.select(lane("j").alias("lb")).distinct()))
+    right = right.crossJoin(F.broadcast(a.select(lane("i").alias("la")).distinct()))
+    terms = lambda col: [F.col("row")[k] * col[k] for k in range(tile)]
+    dot = lambda col: F.when(F.coalesce(*terms(col)).isNotNull(), sum((F.coalesce(x, F.lit(0.0)) for x in terms(col)), F.lit(0.0)))
+    strips = left.join(right, ["la", "lb", "tk"]).select("i", "tj", F.transform("cols", dot).alias("p"))
+    sums = strips.groupBy("i", "tj").agg(F.array(*[F.sum(F.col("p")[k]) for k in range(tile)]).alias("p"))
+    cells = sums.select("i", "tj", F.posexplode("p").alias("c", "v")).filter("v is not null")
+    return cells.select("i", (F.col("tj") * tile + F.col("c")).cast(b.schema["j"].dataType).alias("j"), "v")
 
 
 def transpose(a: DataFrame) -> DataFrame:

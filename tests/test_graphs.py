@@ -175,3 +175,27 @@ def test_wrapping_product_query_on_large_keys(spark, tmp_path):
     lines.write.parquet(str(tmp_path / "lineitem.parquet"))
     want = {(k * p * 1000003 + 2**31) % 2**32 - 2**31 for k, p in ((9_000_000, 1_200_000), (5, 7))}
     assert {r["w"] for r in array_queries.wrapping_product(spark, str(tmp_path)).collect()} == want
+
+
+def test_blocked_product_of_any_shape(spark):
+    """Against numpy; stored cells as ``gemm`` has them; no group of the join beyond a lane."""
+    r = np.random.default_rng(4)
+    cells = lambda m: spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in np.argwhere(m)], "i long, j long, v double")
+    for shape, seed in (((300, 5, 7), 0.9), ((3, 40, 300), 0.3), ((9, 9, 9), 0.1)):
+        x, y = (np.round(r.normal(size=s) * 9) * (r.random(s) < seed) for s in (shape[:2], shape[1:]))
+        got = {(q["i"], q["j"]): q["v"] for q in linalg.blocked_gemm(cells(x), cells(y), 4).collect()}
+        assert set(got) == {(i, j) for i, j in np.argwhere((x != 0).astype(int) @ (y != 0).astype(int))}
+        assert all(got[k] == (x @ y)[k] for k in got)
+    assert linalg.blocked_gemm(cells(x).limit(0), cells(y), 4).count() == 0
+    twice = linalg.blocked_gemm(cells(x).union(cells(x)), cells(y), 4)
+    assert {(q["i"], q["j"]): q["v"] for q in twice.collect()} == {k: 2 * v for k, v in got.items()}
+
+
+def test_blocked_product_deals_tall_matrices(spark):
+    n, tile = 4 * linalg.LANE * 2, 2
+    m = spark.range(n).select(F.col("id").alias("i"), (F.col("id") % 2).alias("j"), F.col("id").cast("double").alias("v"))
+    one = spark.createDataFrame([(0, 0, 2.0), (1, 0, 2.0)], "i long, j long, v double")
+    plan = linalg.blocked_gemm(m, one, tile)
+    assert plan.agg(F.sum("v")).first()[0] == n * (n - 1)
+    joins = [line for line in plan._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line and "tk#" in line]
+    assert len(joins) == 1 and "la#" in joins[0] and "lb#" in joins[0]  # not by the inner index alone
