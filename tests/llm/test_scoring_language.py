@@ -3,13 +3,14 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm import crf_langid, pst
+from tessera.llm import catalog, crf_langid, pst, pst_tables
 
 rng = random.Random(11)
 EN, DE = ["the cat", "house of", "and water", "walking the", "other thing"], ["der hund", "und das", "haus ist", "nicht schön", "über straße"]
@@ -122,6 +123,95 @@ def test_suffix_tree_by_brute_force(spark):
         assert all(math.isclose(got[c][0][w], v, abs_tol=1e-9) for w, v in following.items())
 
 
+def brute_scores(train, texts, p):
+    """Base and tree log10 probabilities of each text by dictionaries of all contexts; the words that are known."""
+    split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")), ""]
+    seqs = [split(t) for t in train]
+    single = Counter(w for s in seqs for w in s)
+    total = math.log10(sum(single.values()) + len(single) + 1)
+    kept = {}
+
+    def log10p(context, w):
+        if not context:
+            return math.log10(single[w] + 1) - total
+        if context not in kept:
+            return log10p(context[1:], w)
+        following, other = kept[context]
+        return following[w] if w in following else other + log10p(context[1:], w)
+
+    for d in range(1, p.depth + 1):
+        counts, here = {}, {}
+        for s in seqs:
+            for i in range(d, len(s)):
+                counts.setdefault(tuple(s[i - d : i]), Counter())[s[i]] += 1
+        for c, following in counts.items():
+            n = sum(following.values())
+            if n < p.least or (d > 1 and c[1:] not in kept):
+                continue
+            explicit = {w: (k - p.discount) / n for w, k in following.items() if k >= p.least}
+            explicit = {w: q for w, q in explicit.items() if abs(math.log10(q) - log10p(c[1:], w)) > math.log10(1.2)}
+            mass, left = sum(explicit.values()), sum(10 ** log10p(c[1:], w) for w in explicit)
+            other = math.log10(max(1 - mass, 1e-12) / max(1 - left, 1e-12))
+            nats = math.log(10) * (sum(q * (math.log10(q) - log10p(c[1:], w)) for w, q in explicit.items()) + (1 - mass) * other)
+            if nats >= p.nats and nats * n >= p.evidence:
+                here[c] = ({w: math.log10(q) for w, q in explicit.items()}, other)
+        kept |= here
+
+    def longest(history, w):
+        d = 0  # the suffixes of a kept context are kept
+        while d < min(p.depth, len(history)) and tuple(history[len(history) - d - 1 :]) in kept:
+            d += 1
+        return log10p(tuple(history[len(history) - d :]), w)
+
+    out = [(sum(math.log10(single[w] + 1) - total for w in s), sum(longest(s[:i], s[i]) for i in range(len(s))), sum(single[w] > 0 for w in s)) for s in map(split, texts)]
+    return out, Counter(map(len, kept))
+
+
+def chained(r, n):
+    words = [f"w{k}" for k in range(12)]
+    t = [r.choice(words)]
+    while len(t) < n:  # the next word hangs on the last one to three
+        k = r.choice((1, 1, 2, 3))
+        t.append(words[(sum(int(w[1:]) for w in t[-k:]) * 5 + r.choice((0, 0, 0, 1))) % 12] if r.random() < 0.8 else r.choice(words))
+    return " ".join(t)
+
+
+@pytest.mark.parametrize(("least", "head"), [(1, 1.0), (2, 0.003), (2, 0.0)])
+def test_suffix_tree_tables_by_brute_force(spark, least, head):
+    """Whether a value is broadcast or joined, the scores are those of dictionaries of every context."""
+    r = random.Random(22)
+    texts = [None, "", "w1", "W1 w2 unseen w3", *(chained(r, r.randint(5, 40)) for _ in range(120))]
+    texts += [" ".join(f"rare{i}" for i in range(9))] * 4 + ["rare1 rare2 rare3 rare4 w1 rare5", "unseen2"]
+    docs = spark.createDataFrame([(i, t, 0.0) for i, t in enumerate(texts)], "doc_id long, text string, score double")
+    docs = docs.union(docs.filter("doc_id = 5"))
+    params = pst_tables.Params(depth=4, least=least, nats=0.01, evidence=3.0, head=head, rounds=2)
+    model = pst_tables.fit(docs.filter("doc_id % 7 <> 3"), params=params)
+    train = [t for i, t in enumerate(texts) if i % 7 != 3] + [texts[5]] * (5 % 7 != 3)
+    want, sizes = brute_scores(train, texts, params)
+    assert {1, 2, 3} <= set(sizes)
+    got = pst_tables.score(docs, model).collect()
+    assert sorted(g["doc_id"] for g in got) == sorted([*range(len(texts)), 5])
+    for g in got:
+        base, own, known = want[g["doc_id"]]
+        assert math.isclose(g["base_score"], base, rel_tol=1e-9) and math.isclose(g["score"], own, rel_tol=1e-9), g
+        assert g["n_known"] == known
+    none = pst_tables.fit(docs.limit(0), params=params)
+    assert pst_tables.score(docs, none).filter("score <> 0 or base_score <> 0 or n_known <> 0").count() == 0
+    assert pst_tables.score(docs.limit(0), model).count() == 0
+
+
+def test_suffix_tree_query_keeps_what_a_share_would_drop(spark, tmp_path):
+    """Three copies of a passage count, however many other tokens there are."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    train = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = next(i for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = [(train[0], "x y " * 300_000), *((i, passage) for i in [*train[1:4], held])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in catalog.op3_suffix_tree(spark, str(tmp_path)).collect()}
+    assert got[held]["held_out"] and got[held]["score"] == pytest.approx(got[train[1]]["score"])
+    assert got[held]["score"] > got[held]["base_score"] / 2
+
+
 def test_forward_backward_by_brute_force():
     r = np.random.default_rng(1)
     lengths = np.array([3, 0, 1, 5])
