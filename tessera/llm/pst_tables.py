@@ -11,24 +11,33 @@ So the model is one table of keys and values, and a text's score is the sum of t
 its keys find.  Keys are 64-bit hashes of words, contexts and pairs.  The most frequent
 keys are broadcast, all others are joined; where a key is doesn't change the result.
 Bloom filters only spare rows that would find nothing.
+
+Tables hold arrays: a row is a bucket, by the highest bits of a key, and the bytes of the
+columns of some of its entries.  Spark deals the buckets to tasks, whose number rises with
+the tokens, and each task sums or joins those it is dealt.  The texts are split into words
+once for the counts of all levels and once for the scores.
 """
 
 from __future__ import annotations
 
-import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_map, coded, hashed, materialize, mixed, release, scratch, steps, words_of
-from tessera.llm.pst import HELD, find, word_counts
 
-MOST_BITS = 1 << 26  # of a filter (8 MB)
+MOST_BITS = 1 << 28  # of a filter (32 MB)
+HELD = 2_000_000  # entries a task holds before it sums them
+HOT = 1e-4  # share of the tokens from which the pairs of a word are dealt to several buckets
+WORD, CONTEXT, PAIR, UNTOLD = range(4)  # UNTOLD: pairs that are left to the suffix
+U64, I64, F64, U32 = np.uint64, np.int64, np.float64, np.uint32
 
 
 @dataclass(frozen=True)
@@ -38,8 +47,9 @@ class Params:
     discount: float = 0.5
     nats: float = 0.005  # least divergence of a kept context
     evidence: float = 20.0  # least divergence times count, in nats
-    head: float = 1e-6  # share of the tokens from which a key's value is broadcast, not joined
-    rounds: int = 4  # parts of the texts that are scored one after another, which bounds the disk
+    head: float = 2e-7  # share of the tokens from which a key's value is broadcast, not joined
+    rounds: int = 2  # parts of the texts that are scored one after another, which bounds the disk
+    part: int = 4_000_000  # tokens for each task that sums or joins
 
 
 @dataclass
@@ -47,7 +57,8 @@ class Model:
     tokens: int
     distinct: int
     params: Params
-    lookup: DataFrame  # key, value, base, known, n; of words log10(n + 1)
+    lookup: DataFrame  # bucket, kind and the arrays key, value (of words log10(n + 1)), parent, n
+    parts: int
 
 
 def _pair(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
@@ -55,10 +66,6 @@ def _pair(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     return context ^ (suffix << np.uint64(17) | suffix >> np.uint64(47))
 
 
-def _pair_column(context: str, suffix: str) -> Column:
-    return F.col(context).bitwiseXOR(F.shiftleft(suffix, 17).bitwiseOR(F.shiftrightunsigned(suffix, 47)))
-
-
 def _single(word: np.ndarray) -> np.ndarray:
     """A context of one word by the word, and the other way about."""
     return word ^ np.uint64(0xD1B54A32D192ED03)
@@ -71,43 +78,112 @@ def _longer(context: np.ndarray, before: np.ndarray) -> np.ndarray:
 class Text:
     """Keys of all tokens of some texts: words and ends in order, and where each text begins."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, distinct: np.ndarray, codes: np.ndarray, lengths: np.ndarray):
+        self.distinct, self.codes = distinct, codes  # distinct words with the end last, and each token's number among them
+        self.offsets = np.append(0, np.cumsum(lengths, dtype=np.int64))
+        self.words = distinct[codes]
+        self.place = np.arange(len(codes)) - np.repeat(self.offsets[:-1], lengths)
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Text:
         words, ends = words_of(texts)
         codes, distinct = coded(words)
-        self.offsets = ends + np.arange(len(ends))
-        n = len(codes) + len(ends) - 1
-        own = hashed(distinct)
-        is_end = np.zeros(n, bool)
-        is_end[self.offsets[1:] - 1] = True
-        # distinct words with the end last, and each token's number among them
-        self.distinct = np.append(own, hashed(pa.array([b""], pa.large_binary())))
-        self.codes = np.full(n, len(own), np.int64)
-        self.codes[~is_end] = codes
-        self.words = self.distinct[self.codes]
-        self.place = np.arange(n) - np.repeat(self.offsets[:-1], np.diff(self.offsets))
-        self.doc = np.repeat(np.arange(len(ends) - 1), np.diff(self.offsets))
-
-def _sweep(df: DataFrame) -> None:
-    """Shuffle files that no table refers to any more are deleted once the driver's garbage is collected: do that now."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
-def _filter(keys: DataFrame, count: int) -> np.ndarray:
-    """A Bloom filter of hashed keys: 16 bits for each, ``MOST_BITS`` at most; its places are a key's lowest and highest bits."""
-    size = 6
+        last = ends[1:] + np.arange(len(ends) - 1)
+        is_end = np.zeros(len(codes) + len(last), bool)
+        is_end[last] = True
+        out = np.full(len(is_end), len(distinct), np.int64)
+        out[~is_end] = codes
+        return cls(np.append(hashed(distinct), hashed(pa.array([b""], pa.large_binary()))), out, np.diff(ends) + 1)
+
+
+@contextmanager
+def _short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files are deleted with the query that wrote them, not once the driver's garbage is collected."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _bucket(keys: np.ndarray, parts: int) -> np.ndarray:
+    """By the 24 highest bits; four buckets for each task, which evens out what tasks are dealt."""
+    return ((keys >> np.uint64(40)) * np.uint64(min(4 * parts, 1 << 24)) >> np.uint64(24)).astype(np.int64)
+
+
+def _rows(bucket: np.ndarray, columns: list[np.ndarray], *more: int) -> pa.RecordBatch:
+    """A row for each bucket: its number, ``more`` numbers, and its entries of each column as bytes."""
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
+    bucket = bucket[order]
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    bounds = np.append(first, len(bucket)) if len(first) else np.zeros(1, np.int64)
+    arrays = [pa.array(bucket[first], pa.int64()), *(pa.array(np.full(len(first), m), pa.int64()) for m in more)]
+    for c in columns:
+        data = np.ascontiguousarray(c[order])
+        arrays.append(pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((bounds * c.dtype.itemsize).astype(np.int32)), pa.py_buffer(data)]))
+    return pa.RecordBatch.from_arrays(arrays, names=[f"c{i}" for i in range(len(arrays))])
+
+
+def _bytes(column: pa.Array, kind: type) -> np.ndarray:
+    """All entries of a column of arrays, one row after another."""
+    bounds = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]].view(kind) if data is not None and bounds[-1] > bounds[0] else np.zeros(0, kind)
+
+
+def _joined(arrays: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate(arrays) if arrays else np.zeros(0, kind)
+
+
+def _entries(batches: Iterator[pa.RecordBatch], columns: dict[str, type]) -> list[np.ndarray]:
+    """Everything that a task is dealt, by column."""
+    held: list[list[np.ndarray]] = [[] for _ in columns]
+    for batch in batches:
+        for into, (name, kind) in zip(held, columns.items(), strict=True):
+            into.append(_bytes(batch.column(name), kind).copy())
+    return [_joined(x, kind) for x, kind in zip(held, columns.values(), strict=True)]
+
+
+def _by_side(batches: Iterator[pa.RecordBatch]) -> dict[int, list[pa.RecordBatch]]:
+    out: dict[int, list[pa.RecordBatch]] = {0: [], 1: []}
+    for batch in batches:
+        for side, into in out.items():
+            into.append(batch.filter(pc.equal(batch.column("side"), side)))
+    return out
+
+
+def _filter(table: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], count: int, parts: int) -> np.ndarray:
+    """A Bloom filter of the keys: 16 bits for each, ``MOST_BITS`` at most; its places are a key's lowest and highest bits.
+
+    Tasks send places by blocks of 2^16 bits; the blocks' bits come to the driver.
+    """
+    size = 16
     while 1 << size < min(16 * count, MOST_BITS):
         size += 1
-    k = F.col(keys.columns[0])
-    place = F.explode(F.array(k.bitwiseAND((1 << size) - 1), F.shiftrightunsigned(k, 64 - size))).alias("place")
-    words = keys.select(place).groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("ones")).toArrow()
-    out = np.zeros(1 << size - 6, np.uint64)
-    out[words["word"].to_numpy()] = words["ones"].to_numpy().view(np.uint64)
-    return out
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = keys(batch)
+            for i in range(0, len(k), HELD):
+                p = np.concatenate([k[i : i + HELD] & np.uint64((1 << size) - 1), k[i : i + HELD] >> np.uint64(64 - size)])
+                yield _rows((p >> np.uint64(16)).astype(np.int64), [(p & np.uint64(0xFFFF)).astype(np.uint16)])
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, block in enumerate(batch.column(0).to_pylist()):
+                blocks.setdefault(block, np.zeros(1 << 16, bool))[_bytes(batch.column(1).slice(i, 1), np.uint16)] = True
+        for block, x in blocks.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([np.packbits(x, bitorder="little").tobytes()])], names=["c0", "c1"])
+
+    rows = arrow_map(table, places, "c0 long, c1 binary").repartition(min(parts, 12), "c0")
+    found = arrow_map(rows, bits, "c0 long, c1 binary").toArrow()
+    out = np.zeros((1 << size - 16, 1 << 10), np.uint64)
+    for block, data in zip(found["c0"].to_pylist(), found["c1"].to_pylist(), strict=True):
+        out[block] = np.frombuffer(data, np.uint64)
+    return out.ravel()
 
 
 def _held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -119,94 +195,220 @@ def _held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _summed(parts: list[pa.Table]) -> pa.Table:
-    return pa.concat_tables(parts).group_by(["c", "s"]).aggregate([("n", "sum")]).rename_columns(["c", "s", "n"])
+def _sorted_sums(c: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of equal pairs (c, s) as one, those of one c side by side."""
+    if not len(c):
+        return c, s, n
+    k = _pair(c, s)
+    order = np.argsort(k)
+    k = k[order]
+    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    n = np.add.reduceat(n[order], first)
+    c, s = c[order[first]], s[order[first]]
+    order = np.argsort(c)
+    return c[order], s[order], n[order]
 
 
-def _ordered(t: pa.Table) -> list[pa.RecordBatch]:
-    """Rows of one context side by side, which makes the shuffle smaller."""
-    return t.sort_by("c").to_batches(max_chunksize=100_000)
+def _counts(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], deal: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Partial counts (c, s, n) by bucket, summed whenever many are held."""
+    held: list[tuple[np.ndarray, ...]] = []
 
+    def summed() -> pa.RecordBatch:
+        c, s, n = _sorted_sums(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        held.clear()
+        return _rows(deal(c, s), [c, s, n])
 
-def _counts(parts: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
-    """Partial counts, summed whenever many are held."""
-    held: list[pa.Table] = []
     for t in parts:
         held.append(t)
-        if sum(x.num_rows for x in held) > HELD:
-            held = [_summed(held)]
-            if held[0].num_rows > HELD // 2:
-                yield from _ordered(held.pop())
+        if sum(len(x[0]) for x in held) > HELD:
+            yield summed()
     if held:
-        yield from _ordered(_summed(held))
-
+        yield summed()
 
-def _table(c: np.ndarray, s: np.ndarray | None) -> pa.Table:
-    """Counts of contexts, or of pairs with their suffix's pair."""
-    _, first, n = np.unique(c if s is None else _pair(c, s), return_index=True, return_counts=True)
-    return pa.table({"c": _signed(c[first]), "s": pa.nulls(len(n), pa.int64()) if s is None else _signed(s[first]), "n": pa.array(n)})
 
+COUNTS = "bucket long, c binary, s binary, n binary"
+LOOKUP = "bucket long, kind long, key binary, value binary, parent binary, n binary"
 
-def _level(train: DataFrame, depth: int, twice: np.ndarray | None, below: np.ndarray | None) -> DataFrame:
-    """Pairs of context and next word (the context c, the suffix's pair s, n), and contexts (c, n).
 
-    Of the first level s is the next word's key.  Contexts of one word are left to the word counts, those of two to the first level's pairs.
-    ``below``: a filter of the level below, of kept contexts and their pairs; ``twice``: one of all pairs of words.
-    """
-    shared = train.sparkSession.sparkContext.broadcast((twice, below))
+def _tokens(train: DataFrame) -> DataFrame:
+    """Texts as numbers of words; a row for each step with the hashes of its distinct words."""
 
-    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        twice, below = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "text"):
-                text = Text(part.column("text"))
-                at = np.flatnonzero(text.place >= depth)
-                if depth == 1:
-                    yield _table(_single(text.words[at - 1]), text.words[at])
-                    continue
+                text = Text.of(part.column("text"))
+                codes = text.codes.astype(np.uint32)
+                arrays = [pa.array([x.tobytes()], pa.binary()) for x in (text.distinct, codes, np.diff(text.offsets).astype(np.uint32))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["own", "codes", "lengths"])
+
+    return arrow_map(train.select("text"), run, "own binary, codes binary, lengths binary")
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[Text]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            own, codes, lengths = (_bytes(batch.column(c).slice(i, 1), kind) for c, kind in (("own", U64), ("codes", U32), ("lengths", U32)))
+            yield Text(own, codes.astype(np.int64), lengths.astype(np.int64))
+
+
+def _words(tokens: DataFrame, parts: int) -> DataFrame:
+    """The words' counts as a table of the model's form; ``parent`` is the count until the tokens are known."""
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        for text in _texts(batches):
+            yield text.distinct, np.zeros(len(text.distinct), np.uint64), np.bincount(text.codes, minlength=len(text.distinct))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, _, n = _sorted_sums(*_entries(batches, {"c": U64, "s": U64, "n": I64}))
+        w, n = w[n > 0], n[n > 0]
+        value = np.log10(n + 1)
+        yield _rows(_bucket(w, parts), [w, value, value, n], WORD)
+
+    rows = arrow_map(tokens, lambda b: _counts(tables(b), lambda c, s: _bucket(c, parts)), COUNTS)
+    return arrow_map(rows.repartition(parts, "bucket"), sums, LOOKUP)
+
+
+def _frequent(lookup: DataFrame, least: float) -> list[np.ndarray]:
+    """key, value, whether it is a word, and n of the entries counted ``least`` times, in the order of the keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, value, n = (_bytes(batch.column(c), kind) for c, kind in (("key", U64), ("value", F64), ("n", I64)))
+            word = np.repeat(batch.column("kind").to_numpy() == WORD, pc.binary_length(batch.column("key")).to_numpy() // 8)
+            on = n >= least
+            yield pa.RecordBatch.from_arrays([pa.array(key[on].view(np.int64)), pa.array(value[on]), pa.array(word[on].astype(np.int64)), pa.array(n[on])], names=["key", "value", "word", "n"])
+
+    found = arrow_map(lookup, run, "key long, value double, word long, n long").toArrow()
+    key = found["key"].to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    return [key[order], *(found[c].to_numpy()[order] for c in ("value", "word", "n"))]
+
+
+class Index:
+    """Where keys are in a sorted array: by where each number of their highest bits begins."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.shift = keys, np.uint64(63 - max(1, len(keys).bit_length()))
+        top = (keys >> self.shift).astype(np.int64)
+        self.start = np.append(0, np.cumsum(np.bincount(top, minlength=1 << 64 - int(self.shift)))).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        out, top = np.full(len(keys), -1, np.int64), (keys >> self.shift).astype(np.int64)
+        at, end = self.start[top], self.start[top + 1]
+        live = np.flatnonzero(at < end)
+        at, end = at[live], end[live]
+        while len(live):
+            hit = self.keys[at] == keys[live]
+            out[live[hit]] = at[hit]
+            at += 1
+            on = ~hit & (at < end)
+            live, at, end = live[on], at[on], end[on]
+        return out
+
+
+def _level(tokens: DataFrame, depth: int, hot: tuple[Index, np.ndarray], twice: np.ndarray | None, below: np.ndarray | None, least: int, parts: int) -> DataFrame:
+    """Pairs of context and next word by the bucket of the suffix's pair: that pair s, the context c, the counts of the pair and the context.
+
+    Of the first level s is the next word's key.
+    ``below``: a filter of the level below, of kept contexts and their pairs; ``twice``: one of all pairs of words;
+    ``hot``: the most frequent contexts of one word and their counts.
+    """
+    shared = tokens.sparkSession.sparkContext.broadcast((hot, twice, below))
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        _, twice, below = shared.value
+        for text in _texts(batches):
+            at = np.flatnonzero(text.place >= depth)
+            if depth > 1:
                 # a context occurs no more often than any two words of it that follow each other
                 second = np.flatnonzero(text.place >= 1)
                 often = np.zeros(len(text.words), bool)
                 often[second] = _held(twice, _pair(_single(text.words[second - 1]), text.words[second]))
                 for d in range(1, depth):
                     at = at[often[at - d]]
-                c = _single(text.words[at - 1])
-                s = _pair(c, text.words[at])
-                for d in range(2, depth):
-                    c = _longer(c, text.words[at - d])
-                    s = _pair(c, s)
-                on = _held(below, c)
-                at, s = at[on], s[on]
-                c = _longer(c[on], text.words[at - depth])
-                if depth > 2:
-                    yield _table(c, None)
-                on = _held(below, s)
-                yield _table(c[on], s[on])
-
-    rows = arrow_map(train.select("text"), lambda b: _counts(tables(b)), "c long, s long, n long")
-    return rows.groupBy("c", "s").agg(F.sum("n").alias("n"))
-
-
-def _pairs_as_contexts(pairs: DataFrame) -> DataFrame:
-    """Pairs of words as contexts of two words (c, total)."""
+            c = _single(text.words[at - 1])
+            s = text.words[at]
+            for d in range(2, depth + 1):
+                s = _pair(c, s)
+                if d == depth:
+                    on = _held(below, c)
+                    at, c, s = at[on], c[on], s[on]
+                    s = np.where(_held(below, s), s, np.uint64(0))  # 0: counted for the context alone
+                c = _longer(c, text.words[at - d])
+            yield c, s, np.ones(len(c), np.int64)
+
+    def deal(c: np.ndarray, s: np.ndarray) -> np.ndarray:
+        if depth > 1:
+            return _bucket(c, parts)
+        several = shared.value[0][0].find(c) >= 0
+        return _bucket(np.where(several, mixed(c ^ s >> np.uint64(54)), c), parts)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, s, n = _sorted_sums(*_entries(batches, {"c": U64, "s": U64, "n": I64}))
+        if not len(c):
+            return
+        first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+        total = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(c))))
+        if depth == 1:
+            keys, counts = shared.value[0]
+            place = keys.find(c)
+            total[place >= 0] = counts[place[place >= 0]]
+        on = (total >= least) & (n >= least) & (s != 0)
+        yield _rows(_bucket(s[on], parts), [s[on], c[on], n[on], total[on]], 0)
+
+    rows = arrow_map(tokens, lambda b: _counts(tables(b), deal), COUNTS)
+    return arrow_map(rows.repartition(parts, "bucket"), sums, "bucket long, side long, s binary, c binary, n binary, total binary")
+
+
+def _with_parents(level: DataFrame, parents: DataFrame, shift: float, params: Params, parts: int) -> DataFrame:
+    """Pairs by the bucket of their context, with the log10 probability that the suffix gives their next word."""
+    empty = F.lit(b"").alias
+    sides = level.union(parents.select("bucket", F.lit(1).cast("long").alias("side"), "key", "parent", empty("n"), empty("total")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            before, word = (batch.column(x).to_numpy().view(np.uint64) for x in ("c", "s"))
-            yield pa.RecordBatch.from_arrays([_signed(_longer(_single(word), _single(before))), batch.column("n")], names=["c", "total"])
+        sides = _by_side(batches)
+        key, parent = _entries(iter(sides[1]), {"s": U64, "c": F64})
+        s, c, n, total = _entries(iter(sides[0]), {"s": U64, "c": U64, "n": I64, "total": I64})
+        order = np.argsort(key)
+        place = Index(key[order]).find(s)
+        on = place >= 0
+        s, c = s[on], c[on]
+        yield _rows(_bucket(c, parts), [c, _pair(c, s), n[on], total[on], parent[order[place[on]]] - shift])
 
-    return arrow_map(pairs.select("c", "s", "n"), run, "c long, total long")
+    return arrow_map(sides.repartition(parts, "bucket"), run, "bucket long, c binary, k binary, n binary, total binary, parent binary")
 
 
-def _keyed(table: DataFrame) -> DataFrame:
-    """word, n with the keys of the word (w) and of the context that it is (c)."""
+def _kept(pairs: DataFrame, params: Params, parts: int) -> DataFrame:
+    """The contexts whose next words diverge from their suffix's, with their factor on other words, and their pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            w = hashed(batch.column("word").cast(pa.large_binary()))
-            yield pa.RecordBatch.from_arrays([_signed(w), _signed(_single(w)), batch.column("n")], names=["w", "c", "n"])
-
-    return arrow_map(table.select("word", "n"), run, "w long, c long, n long")
+        c, k, n, total, parent = _entries(batches, {"c": U64, "k": U64, "n": I64, "total": I64, "parent": F64})
+        if not len(c):
+            return
+        order = np.argsort(c, kind="stable")
+        c, k, n, total, parent = (x[order] for x in (c, k, n, total, parent))
+        new = np.append(True, c[1:] != c[:-1])
+        first, own = np.flatnonzero(new), np.cumsum(new) - 1
+        p = np.log10((n - params.discount) / total)
+        told = np.abs(p - parent) > np.log10(1.2)  # others are left to the suffix
+        sums = lambda x: np.bincount(own, np.where(told, x, 0.0))
+        mass, left, gain = sums(10**p), sums(10**parent), sums(10**p * (p - parent))
+        spread = np.log10(np.maximum(1 - mass, 1e-12) / np.maximum(1 - left, 1e-12))
+        nats = np.log(10) * (gain + (1 - mass) * spread)
+        kept = (sums(1.0) > 0) & (nats >= params.nats) & (nats * total[first] >= params.evidence)
+        contexts = first[kept]
+        yield _rows(_bucket(c[contexts], parts), [c[contexts], spread[kept], spread[kept], total[contexts]], CONTEXT)
+        on = kept[own]
+        k, n, p, told, other = k[on], n[on], p[on], told[on], (parent + spread[own])[on]
+        for kind, own, parent in ((PAIR, told, p), (UNTOLD, ~told, other)):
+            yield _rows(_bucket(k[own], parts), [k[own], (p - other)[own], parent[own], n[own]], kind)
+
+    return arrow_map(pairs.repartition(parts, "bucket"), run, LOOKUP)
+
+
+def _size(table: DataFrame, column: str) -> int:
+    return (table.agg(F.sum(F.length(column))).first()[0] or 0) // 8
 
 
 def fit(train: DataFrame, *, text_col: str = "text", params: Params = Params()) -> Model:
@@ -215,54 +417,31 @@ def fit(train: DataFrame, *, text_col: str = "text", params: Params = Params())
     Without rows nothing is known, and every token has the probability 1.
     """
     train = train.select(train[text_col].alias("text"))
-    with scratch() as keep:
-        words = keep(materialize(_keyed(word_counts(train)), "op3-words"))
-        total = words.agg(F.sum("n").alias("tokens"), F.count("*").alias("distinct")).first()
-        tokens, distinct = total["tokens"] or 0, total["distinct"]
-        log_n, rest = F.log10(F.col("n") + 1), [F.lit(0.0).alias("base"), F.lit(0).alias("known"), "n"]
-        parts = [words.select(F.col("w").alias("key"), log_n.alias("value"), log_n.alias("base"), F.lit(1).alias("known"), "n")]
-        parents = words.select(F.col("w").alias("s"), (log_n - F.log10(F.lit(tokens + distinct + 1.0))).alias("parent"))
-        totals, twice, below = words.select("c", F.col("n").alias("total")), None, None
+    with scratch() as keep, _short_shuffles(train.sparkSession):
+        texts = materialize(_tokens(train), "op3-tokens")
+        tokens = (texts.agg(F.sum(F.length("codes"))).first()[0] or 0) // 4
+        parts = max(1, -(-tokens // params.part))
+        words = keep(materialize(_words(texts, parts), "op3-words"))
+        distinct = _size(words, "key")
+        word, _, _, n = _frequent(words, max(1.0, HOT * tokens))  # at most 1 / HOT
+        hot = _single(word)
+        order = np.argsort(hot)
+        hot = Index(hot[order]), n[order]
+        tables, parents, shift, twice, below = [words], words, float(np.log10(tokens + distinct + 1)), None, None
         for d in range(1, params.depth + 1):
-            level = materialize(_level(train, d, twice, below).filter(F.col("n") >= params.least), f"op3-level{d}")
-            pairs = level.filter("s is not null").withColumn("k", _pair_column("c", "s"))
-            if d == 1:
-                twice = _filter(pairs.select("k"), pairs.count())
-                words_twice = materialize(_pairs_as_contexts(pairs), "op3-contexts2")
-            elif d == 2:
-                totals = words_twice
-            else:
-                totals = level.filter("s is null").select("c", F.col("n").alias("total"))
-            p = F.log10((F.col("n") - params.discount) / F.col("total"))
-            joined = pairs.join(totals, "c").join(parents, "s").select("k", "c", "n", "total", "parent", p.alias("p"))
-            joined = materialize(joined.withColumn("told", F.abs(F.col("p") - F.col("parent")) > float(np.log10(1.2))), f"op3-joined{d}")
-            kept = keep(materialize(_diverging(joined.filter("told"), params), f"op3-kept{d}"))
-            other = F.col("parent") + F.col("spread")
-            pairs = joined.join(kept.select("c", "spread"), "c")
-            pairs = pairs.select("k", "n", F.when(F.col("told"), F.col("p")).otherwise(other).alias("parent"), F.when(F.col("told"), F.col("p") - other).alias("value"))
-            pairs = keep(materialize(pairs, f"op3-pairs{d}"))
-            release(joined)
+            level = materialize(_level(texts, d, hot, twice, below, params.least, parts), f"op3-level{d}")
+            if d == 1 < params.depth:
+                twice = _filter(level.select("s", "c"), lambda b: _pair(_bytes(b.column("c"), U64), _bytes(b.column("s"), U64)), _size(level, "s"), parts)
+            kept = keep(materialize(_kept(_with_parents(level, parents, shift, params, parts), params, parts), f"op3-kept{d}"))
             release(level)
-            parts += [kept.select(F.col("c").alias("key"), F.col("spread").alias("value"), *rest), pairs.filter("value is not null").select(F.col("k").alias("key"), "value", *rest)]
-            parents = pairs.select(F.col("k").alias("s"), "parent")
-            keys = kept.select(F.col("c").alias("k")).union(pairs.select("k"))
-            count = keys.count()
-            _sweep(train)
+            tables.append(kept)
+            parents, shift = kept.filter(F.col("kind") >= PAIR), 0.0
+            count = _size(kept, "key")
             if not count:
                 break
             if d < params.depth:
-                below = _filter(keys, count)
-    return Model(tokens, distinct, params, reduce(DataFrame.unionByName, parts))
-
-
-def _diverging(told: DataFrame, params: Params) -> DataFrame:
-    """The contexts (c, counted n times) whose next words diverge from their suffix's, with their factor on other words."""
-    p, parent = 10 ** F.col("p"), 10 ** F.col("parent")
-    sums = told.groupBy("c").agg(F.first("total").alias("n"), F.sum(p).alias("mass"), F.sum(parent).alias("left"), F.sum(p * (F.col("p") - F.col("parent"))).alias("gain"))
-    rest = lambda c: F.greatest(1 - F.col(c), F.lit(1e-12))
-    sums = sums.withColumn("spread", F.log10(rest("mass") / rest("left")))
-    nats = float(np.log(10)) * (F.col("gain") + (1 - F.col("mass")) * F.col("spread"))
-    return sums.filter((nats >= params.nats) & (nats * F.col("n") >= params.evidence)).select("c", "spread", "n")
+                below = _filter(kept.select("key"), lambda b: _bytes(b.column("key"), U64), count, parts)
+    return Model(tokens, distinct, params, reduce(DataFrame.unionByName, tables).filter(F.col("kind") != UNTOLD), parts)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,47 +451,46 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     probability 1.  Very long texts are scored whole; repeated rows are scored each; an
     empty table gives no rows.  Other columns, whatever their names, are not read.
     """
+    with _short_shuffles(docs.sparkSession):
+        return _scored(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), model, id_col)
+
+
+def _scored(docs: DataFrame, model: Model, id_col: str) -> DataFrame:
     params, lookup = model.params, model.lookup
-    often = F.col("n") >= max(1.0, params.head * model.tokens)
-    head = lookup.filter(often).select("key", "value", "base", "known").toArrow().sort_by("key")  # at most 1 / head rows a level and kind
-    head = [head[c].to_numpy() for c in ("key", "value", "base", "known")]
-    bits = _filter(lookup.select("key"), lookup.count())
-    shared = docs.sparkSession.sparkContext.broadcast((head, bits))
-    docs = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    key, value, word, _ = _frequent(lookup, max(1.0, params.head * model.tokens))  # at most 1 / head rows a level and kind
+    bits = _filter(lookup.select("key"), lambda b: _bytes(b.column("key"), U64), _size(lookup, "key"), model.parts)
+    shared = docs.sparkSession.sparkContext.broadcast((Index(key), value, word, bits))
     part = F.pmod(F.xxhash64("id", "text"), F.lit(params.rounds))
     out = []
     for i in range(params.rounds):
-        rows = materialize(_lookups(docs.filter(part == i), shared, model, params), "op3-rows")
-        whole = rows.filter("key is null").select("row", "id", "n_tokens", "known", "base", "score")
-        nothing = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("id", "n_tokens")]
-        n = F.col("n")
-        tail = rows.filter("key is not null").select("row", "key", "n").join(lookup.filter(~often).drop("n"), "key")
-        tail = tail.select("row", *nothing, (n * F.col("known")).alias("known"), (n * F.col("base")).alias("base"), (n * F.col("value")).alias("score"))
-        sums = whole.unionByName(tail).groupBy("row").agg(F.first("id", True).alias(id_col), F.sum("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-        out.append(materialize(sums.drop("row"), "op3-scored"))
+        rows = materialize(_lookups(docs.filter(part == i) if params.rounds > 1 else docs, shared, model), "op3-rows")
+        sums = _summed(rows, _found(rows, lookup, model), model)
+        names = F.col("id").alias(id_col), "n_tokens", F.col("known").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score"
+        out.append(materialize(sums.select(*names), "op3-scored"))
         release(rows)
-        _sweep(docs)
     return reduce(DataFrame.unionByName, out)
 
 
-def _lookups(docs: DataFrame, shared, model: Model, params: Params) -> DataFrame:
-    """A row for each text with what the broadcast values give, and one for each key of it that is to be joined, with its count."""
+def _lookups(docs: DataFrame, shared, model: Model) -> DataFrame:
+    """Of each step of texts a row for each text with what the broadcast values give, and for each bucket the keys that are to be joined, with their texts and counts."""
+    params, parts = model.params, model.parts
     id_type = docs.schema["id"].dataType.simpleString()
     unseen = -float(np.log10(model.tokens + model.distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (head, values, bases, seen), bits = shared.value
+        head, values, words, bits = shared.value
 
         def local(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Which keys the model may have, and where in ``head`` (-1: not there)."""
             may = _held(bits, keys)
             at = np.full(len(keys), -1, np.int64)
-            at[may] = find(head, keys[may].view(np.int64))
+            at[may] = head.find(keys[may])
             return may, at
 
         for batch in batches:
             for part in steps(batch, "text"):
-                text, n = Text(part.column("text")), part.num_rows
+                text, n, row = Text.of(part.column("text")), part.num_rows, part.column("row")[0].as_py()
+                of = np.repeat(np.arange(n), np.diff(text.offsets))
                 base, score, known = np.full(len(text.words), unseen), np.full(len(text.words), unseen), np.zeros(len(text.words), np.int64)
                 docs, keys = [], []
 
@@ -320,14 +498,14 @@ def _lookups(docs: DataFrame, shared, model: Model, params: Params) -> DataFrame
                     mine = place >= 0
                     score[at[mine]] += values[place[mine]]
                     rest = may & ~mine
-                    docs.append(text.doc[at[rest]])  # noqa: B023
+                    docs.append(of[at[rest]])  # noqa: B023
                     keys.append(key[rest])  # noqa: B023
 
                 everywhere = np.arange(len(text.words))
                 may, place = (x[text.codes] for x in local(text.distinct))
                 add(everywhere, text.words, may, place)
-                base[place >= 0] += bases[place[place >= 0]]
-                known[place >= 0] = seen[place[place >= 0]]
+                base[place >= 0] += values[place[place >= 0]]
+                known[place >= 0] = words[place[place >= 0]]
                 may, place = local(_single(text.distinct))
                 at = np.flatnonzero(text.place >= 1)
                 before = text.codes[at - 1]
@@ -346,19 +524,80 @@ def _lookups(docs: DataFrame, shared, model: Model, params: Params) -> DataFrame
                     may = may[may]
 
                 sums = lambda x: pa.array(np.add.reduceat(x, text.offsets[:-1]))  # noqa: B023, E731  every text has its end, so no range is empty
-                none = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), none, none, pa.array(np.diff(text.offsets)), sums(known), sums(base), sums(score)], names=names)
-                d, k = np.concatenate(docs), np.concatenate(keys)
-                order = np.lexsort((k, d))
-                d, k = d[order], k[order]
-                new = np.append(True, (d[1:] != d[:-1]) | (k[1:] != k[:-1])) if len(d) else np.zeros(0, bool)
-                first = np.flatnonzero(new)
-                count = np.diff(np.append(first, len(d)))
-                for i in range(0, len(first), 100_000):
-                    s = first[i : i + 100_000]
-                    none = pa.nulls(len(s))
-                    yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(d[s])), none.cast(part.column("id").type), _signed(k[s]), pa.array(count[i : i + 100_000]), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.float64()), none.cast(pa.float64())], names=names)
-
-    names = ["row", "id", "key", "n", "n_tokens", "known", "base", "score"]
+                none = pa.nulls(n, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(np.full(n, row)), part.column("id"), pa.array(np.arange(n)), pa.array(np.diff(text.offsets)), sums(known), sums(base), sums(score), none, none, none], names=names)
+                k, d, count = _sorted_sums(np.concatenate(keys), np.concatenate(docs).astype(np.uint64), np.ones(sum(map(len, keys)), np.int64))
+                t = _rows(_bucket(k, parts), [k, d.astype(np.uint32), count])
+                m = t.num_rows
+                none = [pa.nulls(m, x) for x in (part.column("id").type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([t.column(0), pa.array(np.full(m, row)), *none, *t.columns[1:]], names=names)
+
+    names = ["bucket", "step", "id", "place", "n_tokens", "known", "base", "score", "key", "doc", "count"]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    return arrow_map(rows, run, f"row long, id {id_type}, key long, n long, n_tokens long, known long, base double, score double")
+    return arrow_map(rows, run, f"bucket long, step long, id {id_type}, place long, n_tokens long, known long, base double, score double, key binary, doc binary, count binary")
+
+
+FOUND = "step long, doc binary, known binary, base binary, score binary"
+
+
+def _found(rows: DataFrame, lookup: DataFrame, model: Model) -> DataFrame:
+    """What the joined keys add to the texts of each step."""
+    none = F.lit(b"").alias
+    asked = rows.filter("bucket is not null").select("bucket", F.lit(0).cast("long").alias("side"), F.col("step").alias("x"), "key", "doc", "count")
+    there = lookup.select("bucket", F.lit(1).cast("long").alias("side"), F.col("kind").alias("x"), "key", F.col("value").alias("doc"), none("count"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = _by_side(batches)
+        # each row's number (the kind, the step) for all its entries
+        numbers = lambda side: _joined([np.repeat(b.column("x").to_numpy(), pc.binary_length(b.column("key")).to_numpy() // 8) for b in sides[side]], I64)
+        key, value = _entries(iter(sides[1]), {"key": U64, "doc": F64})
+        known = numbers(1) == WORD
+        order = np.argsort(key)
+        key, value, known = key[order], value[order], known[order]
+        k, doc, n = _entries(iter(sides[0]), {"key": U64, "doc": U32, "count": I64})
+        place, step = Index(key).find(k), numbers(0)
+        on = place >= 0
+        doc, n, place, step = doc[on], n[on], place[on], step[on]
+        order = np.lexsort((doc, step))
+        doc, n, place, step = doc[order], n[order], place[order], step[order]
+        if not len(doc):
+            return
+        first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (step[1:] != step[:-1])))
+        score, known = n * value[place], n * known[place]
+        yield _rows(step[first], [doc[first], *(np.add.reduceat(x, first) for x in (known, known * value[place], score))])
+
+    return arrow_map(asked.union(there).repartition(model.parts, "bucket"), run, FOUND)
+
+
+def _summed(rows: DataFrame, found: DataFrame, model: Model) -> DataFrame:
+    """The texts' rows with what was found for them: steps are dealt to tasks."""
+    whole = rows.filter("bucket is null").select("step", "id", "place", "n_tokens", "known", "base", "score")
+    given = [F.lit(None).cast(whole.schema[c].dataType).alias(c) for c in whole.columns[1:]]
+    names = ["docs", "knowns", "bases", "scores"]
+    whole = whole.select("*", *(F.lit(None).cast("binary").alias(c) for c in names))
+    found = found.select("step", *given, *(F.col(c).alias(x) for c, x in zip(("doc", "known", "base", "score"), names, strict=True)))
+    id_type = rows.schema["id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, steps_of, docs, parts = [], [], [], [[], [], []]
+        for batch in batches:
+            own = pc.is_null(batch.column("docs"))
+            texts.append(pa.Table.from_batches([batch.filter(own).select(["step", "id", "place", "n_tokens", "known", "base", "score"])]))
+            more = batch.filter(pc.invert(own))
+            docs.append(_bytes(more.column("docs"), U32).astype(np.int64))
+            steps_of.append(np.repeat(more.column("step").to_numpy(), pc.binary_length(more.column("docs")).to_numpy() // 4))
+            for into, (c, kind) in zip(parts, (("knowns", I64), ("bases", F64), ("scores", F64)), strict=True):
+                into.append(_bytes(more.column(c), kind).copy())
+        if not texts:
+            return
+        t = pa.concat_tables(texts).sort_by([("step", "ascending"), ("place", "ascending")])
+        if not t.num_rows:
+            return
+        step = t["step"].to_numpy()
+        new = np.flatnonzero(np.append(True, step[1:] != step[:-1]))
+        at = new[np.searchsorted(step[new], np.concatenate(steps_of))] + np.concatenate(docs)
+        known, base, score = (t[c].to_numpy() + np.bincount(at, np.concatenate(x), t.num_rows).astype(t[c].to_numpy().dtype) for c, x in zip(("known", "base", "score"), parts, strict=True))
+        out = pa.table({"id": t["id"], "n_tokens": t["n_tokens"], "known": known, "base": base, "score": score})
+        yield from out.to_batches(max_chunksize=100_000)
+
+    return arrow_map(whole.union(found).repartition(model.parts, "step"), run, f"id {id_type.simpleString()}, n_tokens long, known long, base double, score double")

@@ -200,6 +200,29 @@ def test_suffix_tree_tables_by_brute_force(spark, least, head):
     assert pst_tables.score(docs.limit(0), model).count() == 0
 
 
+def test_suffix_tree_levels_are_arrays_by_bucket(spark, monkeypatch):
+    """Dealt to several tasks the scores are the same, and no table of a level has a row for each pair."""
+    r = random.Random(23)
+    texts = [chained(r, r.randint(5, 40)) for _ in range(150)] + ["", None, "unseen"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    params = pst_tables.Params(depth=3, nats=0.01, evidence=3.0, head=0.01, part=500)
+    rows, write = {}, pst_tables.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(pst_tables, "materialize", counted)
+    model = pst_tables.fit(docs.filter("doc_id % 5 <> 0"), params=params)
+    got = pst_tables.score(docs, model).collect()
+    want, _ = brute_scores([t for i, t in enumerate(texts) if i % 5], texts, params)
+    assert model.parts > 3 and len(got) == len(texts)
+    assert all(math.isclose(g["score"], want[g["doc_id"]][1], rel_tol=1e-9) and math.isclose(g["base_score"], want[g["doc_id"]][0], rel_tol=1e-9) for g in got)
+    # of each task that counts, a row for each bucket and kind at most
+    assert rows["op3-level3"] <= 4 * model.parts * model.parts and rows["op3-level3"] < pst_tables._size(model.lookup, "key") / 2
+
+
 def test_suffix_tree_query_keeps_what_a_share_would_drop(spark, tmp_path):
     """Three copies of a passage count, however many other tokens there are."""
     passage = " ".join(f"p{i}" for i in range(30))
