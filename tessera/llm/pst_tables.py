@@ -28,13 +28,15 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, coded, hashed, materialize, mixed, release, scratch, steps, words_of
+from tessera.llm.common import arrow_map, coded, materialize, mixed, release, scratch, steps, words_of
 
 MOST_BITS = 1 << 28  # of a filter (32 MB)
 HELD = 2_000_000  # entries a task holds before it sums them
+SLICE = 400_000  # tokens of some texts that are worked on at once
 HOT = 1e-4  # share of the tokens from which the pairs of a word are dealt to several buckets
 WORD, CONTEXT, PAIR, UNTOLD = range(4)  # UNTOLD: pairs that are left to the suffix
 U64, I64, F64, U32 = np.uint64, np.int64, np.float64, np.uint32
@@ -75,6 +77,26 @@ def _longer(context: np.ndarray, before: np.ndarray) -> np.ndarray:
     return mixed(context * np.uint64(0x2545F4914F6CDD1D) + before)
 
 
+def _hashed(distinct: pa.Array) -> np.ndarray:
+    """64-bit hashes of the distinct words: what each byte at its place stands for, summed and mixed; none is 0."""
+    if not len(distinct):
+        return np.zeros(0, np.uint64)
+    bounds = np.frombuffer(distinct.buffers()[1], np.int64, len(distinct) + 1, distinct.offset * 8)
+    data = np.frombuffer(distinct.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if bounds[-1] > bounds[0] else np.zeros(0, np.uint8)
+    bounds = bounds - bounds[0]
+    place = np.arange(len(data)) - np.repeat(bounds[:-1], np.diff(bounds))
+    near = place < len(PLACES)
+    told = PLACES.ravel()[np.where(near, place << 8, 0) + data]
+    if not near.all():
+        told[~near] = mixed((place[~near].astype(np.uint64) << np.uint64(8) | data[~near]) + np.uint64(1))
+    total = np.append(np.uint64(0), np.cumsum(told, dtype=np.uint64))  # modulo 2^64
+    out = mixed(total[bounds[1:]] - total[bounds[:-1]] + np.uint64(0x9E3779B97F4A7C15))
+    return np.where(out == 0, np.uint64(1), out)  # 0 stands for pairs that are counted for their context alone
+
+
+PLACES = mixed(np.arange(1, 256 * 256 + 1, dtype=np.uint64)).reshape(256, 256)  # what a byte (second) at one of the first places (first) stands for
+
+
 class Text:
     """Keys of all tokens of some texts: words and ends in order, and where each text begins."""
 
@@ -93,7 +115,10 @@ class Text:
         is_end[last] = True
         out = np.full(len(is_end), len(distinct), np.int64)
         out[~is_end] = codes
-        return cls(np.append(hashed(distinct), hashed(pa.array([b""], pa.large_binary()))), out, np.diff(ends) + 1)
+        return cls(np.append(_hashed(distinct), END), out, np.diff(ends) + 1)
+
+
+END = _hashed(pa.array([b""], pa.large_binary()))[0]
 
 
 @contextmanager
@@ -115,14 +140,22 @@ def _bucket(keys: np.ndarray, parts: int) -> np.ndarray:
 
 def _rows(bucket: np.ndarray, columns: list[np.ndarray], *more: int) -> pa.RecordBatch:
     """A row for each bucket: its number, ``more`` numbers, and its entries of each column as bytes."""
-    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
-    bucket = bucket[order]
-    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-    bounds = np.append(first, len(bucket)) if len(first) else np.zeros(1, np.int64)
-    arrays = [pa.array(bucket[first], pa.int64()), *(pa.array(np.full(len(first), m), pa.int64()) for m in more)]
-    for c in columns:
-        data = np.ascontiguousarray(c[order])
-        arrays.append(pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((bounds * c.dtype.itemsize).astype(np.int32)), pa.py_buffer(data)]))
+    if len(bucket) and (bucket[1:] < bucket[:-1]).any():
+        order = np.argsort(bucket.astype(np.uint16) if bucket.max() < 1 << 16 else bucket, kind="stable")
+        bucket, columns = bucket[order], [c[order] for c in columns]
+    return _cut([(bucket, columns)], *more)
+
+
+def _cut(tables: list[tuple[np.ndarray, list[np.ndarray]]], *more: int) -> pa.RecordBatch:
+    """The same of several tables of one row a bucket, their buckets in order; the first has entries of every bucket."""
+    bucket = tables[0][0]
+    rows = bucket[np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))] if len(bucket) else bucket
+    arrays = [pa.array(rows, pa.int64()), *(pa.array(np.full(len(rows), m), pa.int64()) for m in more)]
+    for bucket, columns in tables:
+        bounds = np.append(np.searchsorted(bucket, rows), len(bucket))
+        for c in columns:
+            data = pa.py_buffer(np.ascontiguousarray(c))
+            arrays.append(pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((bounds * c.dtype.itemsize).astype(np.int32)), data]))
     return pa.RecordBatch.from_arrays(arrays, names=[f"c{i}" for i in range(len(arrays))])
 
 
@@ -187,36 +220,67 @@ def _filter(table: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], coun
 
 
 def _held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    size = 6 + (len(bits) - 1).bit_length()
-    out = None
-    for p in (keys & np.uint64((1 << size) - 1), keys >> np.uint64(64 - size)):
-        bit = (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
-        out = bit if out is None else out & bit
+    size, bits = 6 + (len(bits) - 1).bit_length(), bits.view(np.uint8)
+
+    def bit(p: np.ndarray) -> np.ndarray:
+        return (bits.take((p >> np.uint64(3)).view(np.int64)) >> (p & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+
+    out = bit(keys & np.uint64((1 << size) - 1))
+    some = np.flatnonzero(out)
+    out[some] = bit(keys[some] >> np.uint64(64 - size))
     return out
 
 
-def _sorted_sums(c: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of equal pairs (c, s) as one, those of one c side by side."""
-    if not len(c):
-        return c, s, n
-    k = _pair(c, s)
-    order = np.argsort(k)
-    k = k[order]
-    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-    n = np.add.reduceat(n[order], first)
-    c, s = c[order[first]], s[order[first]]
-    order = np.argsort(c)
-    return c[order], s[order], n[order]
+def _turned(keys: np.ndarray) -> np.ndarray:
+    """Keys whose highest bits don't tell the bucket, which those of a task have in common."""
+    return keys << np.uint64(24) | keys >> np.uint64(40)
+
+
+def _order(keys: np.ndarray) -> np.ndarray:
+    """A stable order of 64-bit keys: their highest bits are sorted with the places in the lowest, faster than places alone."""
+    low = np.uint64((1 << max(1, len(keys) - 1).bit_length()) - 1)
+    order = (np.sort(keys & ~low | np.arange(len(keys), dtype=np.uint64)) & low).view(np.int64)
+    found = keys[order]
+    if (found[1:] < found[:-1]).any():  # some differ in the lowest bits alone
+        order = order[np.argsort(found, kind="stable")]
+    return order
+
+
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+
+
+def _side_by_side(buckets: np.ndarray, keys: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """An order by bucket that brings equal keys together, and equal pairs of a key, but for a few that have many bits in common with others."""
+    own = np.uint64(max(1, int(buckets.max(initial=0)).bit_length()))
+    low = np.uint64((1 << max(1, len(keys) - 1).bit_length()) - 1)
+    high = np.uint64((1 << 26) - 1 << 38)
+    top = buckets.astype(np.uint64) << np.uint64(64) - own | _turned(keys) >> own
+    return (np.sort(top & high | pairs >> np.uint64(26) & ~(high | low) | np.arange(len(keys), dtype=np.uint64)) & low).view(np.int64)
+
 
+def _counts(parts: Iterator[tuple[np.ndarray, np.ndarray]], deal: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of pairs (c, s) by bucket, summed whenever many are held.
 
-def _counts(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], deal: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Partial counts (c, s, n) by bucket, summed whenever many are held."""
+    A row has each context c once, with the number ``m`` of its pairs and the count ``z`` of
+    those whose s is 0, and the other pairs' s and counts n.
+    """
     held: list[tuple[np.ndarray, ...]] = []
 
     def summed() -> pa.RecordBatch:
-        c, s, n = _sorted_sums(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        c, s = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        return _rows(deal(c, s), [c, s, n])
+        k, b = _pair(c, s), deal(c, s)
+        order = _side_by_side(b, c, k)
+        first = _firsts(k[order])
+        n = np.diff(np.append(first, len(order))).astype(np.uint32)
+        order = order[first]
+        c, s, b = c[order], s[order], b[order]
+        start = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (b[1:] != b[:-1]))) if len(c) else np.zeros(0, np.int64)
+        told = s != 0
+        m, z = (np.add.reduceat(x, start) if len(c) else np.zeros(0, np.uint32) for x in (told.astype(np.uint32), np.where(told, np.uint32(0), n)))
+        return _cut([(b[start], [c[start], m.astype(np.uint32), z.astype(np.uint32)]), (b[told], [s[told], n[told]])])
 
     for t in parts:
         held.append(t)
@@ -226,50 +290,99 @@ def _counts(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], deal: Ca
         yield summed()
 
 
-COUNTS = "bucket long, c binary, s binary, n binary"
+COUNTS = "bucket long, c binary, m binary, z binary, s binary, n binary"
 LOOKUP = "bucket long, kind long, key binary, value binary, parent binary, n binary"
 
 
 def _tokens(train: DataFrame) -> DataFrame:
-    """Texts as numbers of words; a row for each step with the hashes of its distinct words."""
+    """Texts as numbers of words, the most frequent ones first; a row for many steps, with the hashes of its distinct words.
+
+    The numbers' lowest bytes come first, then the next ones: so they compress best.
+    """
+
+    def row(texts: list[Text]) -> pa.RecordBatch:
+        own = np.concatenate([x.distinct for x in texts])
+        before = np.cumsum([0, *(len(x.distinct) for x in texts)])
+        order = _order(own)
+        new = np.append(True, own[order][1:] != own[order][:-1])
+        number = np.empty(len(own), np.int64)
+        number[order] = np.cumsum(new) - 1
+        codes = np.concatenate([number[x.codes + b] for x, b in zip(texts, before[:-1], strict=True)])
+        commonest = np.argsort(-np.bincount(codes, minlength=int(new.sum())))
+        rank = np.empty(len(commonest), np.uint32)
+        rank[commonest] = np.arange(len(commonest), dtype=np.uint32)
+        planes = np.ascontiguousarray(rank[codes].view(np.uint8).reshape(-1, 4).T)
+        lengths = np.concatenate([np.diff(x.offsets) for x in texts]).astype(np.uint32)
+        arrays = [pa.array([x.tobytes()], pa.binary()) for x in (own[order][new][commonest], planes, lengths)]
+        return pa.RecordBatch.from_arrays(arrays, names=["own", "codes", "lengths"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Text] = []
         for batch in batches:
             for part in steps(batch, "text"):
-                text = Text.of(part.column("text"))
-                codes = text.codes.astype(np.uint32)
-                arrays = [pa.array([x.tobytes()], pa.binary()) for x in (text.distinct, codes, np.diff(text.offsets).astype(np.uint32))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["own", "codes", "lengths"])
+                held.append(Text.of(part.column("text")))
+                if sum(len(x.codes) for x in held) > HELD:
+                    yield row(held)
+                    held.clear()
+        if held:
+            yield row(held)
 
     return arrow_map(train.select("text"), run, "own binary, codes binary, lengths binary")
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[Text]:
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Each row's distinct words, the words' numbers and the texts' lengths."""
     for batch in batches:
         for i in range(batch.num_rows):
-            own, codes, lengths = (_bytes(batch.column(c).slice(i, 1), kind) for c, kind in (("own", U64), ("codes", U32), ("lengths", U32)))
-            yield Text(own, codes.astype(np.int64), lengths.astype(np.int64))
+            own, planes, lengths = (_bytes(batch.column(c).slice(i, 1), kind) for c, kind in (("own", U64), ("codes", np.uint8), ("lengths", U32)))
+            yield own, np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel(), lengths.astype(np.int64)
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[Text]:
+    for own, codes, lengths in _numbers(batches):
+        ends = np.cumsum(lengths)
+        start = 0
+        while start < len(lengths):  # whole texts, one at least
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + SLICE, side="right")))
+            yield Text(own, codes[base : ends[stop - 1]].astype(np.int64), lengths[start:stop])
+            start = stop
 
 
 def _words(tokens: DataFrame, parts: int) -> DataFrame:
     """The words' counts as a table of the model's form; ``parent`` is the count until the tokens are known."""
 
-    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        for text in _texts(batches):
-            yield text.distinct, np.zeros(len(text.distinct), np.uint64), np.bincount(text.codes, minlength=len(text.distinct))
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for own, codes, _ in _numbers(batches):
+            held.append((own, np.bincount(codes, minlength=len(own))))
+            if sum(len(w) for w, _ in held) > HELD:
+                w, n = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held.clear()
+                yield _rows(_bucket(w, parts), [w, n])
+        if held:
+            w, n = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield _rows(_bucket(w, parts), [w, n])
+
+    def summed(w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = _order(w)
+        first = _firsts(w[order])
+        return w[order[first]], np.add.reduceat(n[order], first)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, _, n = _sorted_sums(*_entries(batches, {"c": U64, "s": U64, "n": I64}))
-        w, n = w[n > 0], n[n > 0]
+        w, n = _entries(batches, {"w": U64, "n": I64})
+        if not len(w):
+            return
+        w, n = summed(w, n)
         value = np.log10(n + 1)
         yield _rows(_bucket(w, parts), [w, value, value, n], WORD)
 
-    rows = arrow_map(tokens, lambda b: _counts(tables(b), lambda c, s: _bucket(c, parts)), COUNTS)
+    rows = arrow_map(tokens, counts, "bucket long, w binary, n binary")
     return arrow_map(rows.repartition(parts, "bucket"), sums, LOOKUP)
 
 
 def _frequent(lookup: DataFrame, least: float) -> list[np.ndarray]:
-    """key, value, whether it is a word, and n of the entries counted ``least`` times, in the order of the keys."""
+    """key, value, whether it is a word, and n of the entries counted ``least`` times, in the order that ``Index`` takes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,21 +393,22 @@ def _frequent(lookup: DataFrame, least: float) -> list[np.ndarray]:
 
     found = arrow_map(lookup, run, "key long, value double, word long, n long").toArrow()
     key = found["key"].to_numpy().view(np.uint64)
-    order = np.argsort(key)
+    order = _order(_turned(key))
     return [key[order], *(found[c].to_numpy()[order] for c in ("value", "word", "n"))]
 
 
 class Index:
-    """Where keys are in a sorted array: by where each number of their highest bits begins."""
+    """Where keys are in an array by the order of ``_turned``: by where each number of their highest bits begins."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys, self.shift = keys, np.uint64(63 - max(1, len(keys).bit_length()))
-        top = (keys >> self.shift).astype(np.int64)
+        self.keys, self.shift = _turned(keys), np.uint64(63 - max(1, len(keys).bit_length()))
+        top = (self.keys >> self.shift).view(np.int64)
         self.start = np.append(0, np.cumsum(np.bincount(top, minlength=1 << 64 - int(self.shift)))).astype(np.int32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key, or -1."""
-        out, top = np.full(len(keys), -1, np.int64), (keys >> self.shift).astype(np.int64)
+        keys = _turned(keys)
+        out, top = np.full(len(keys), -1, np.int64), (keys >> self.shift).view(np.int64)
         at, end = self.start[top], self.start[top + 1]
         live = np.flatnonzero(at < end)
         at, end = at[live], end[live]
@@ -307,14 +421,13 @@ class Index:
         return out
 
 
-def _level(tokens: DataFrame, depth: int, hot: tuple[Index, np.ndarray], twice: np.ndarray | None, below: np.ndarray | None, least: int, parts: int) -> DataFrame:
+def _level(tokens: DataFrame, depth: int, shared: Broadcast, least: int, parts: int) -> DataFrame:
     """Pairs of context and next word by the bucket of the suffix's pair: that pair s, the context c, the counts of the pair and the context.
 
     Of the first level s is the next word's key.
-    ``below``: a filter of the level below, of kept contexts and their pairs; ``twice``: one of all pairs of words;
-    ``hot``: the most frequent contexts of one word and their counts.
+    ``shared``: the most frequent contexts of one word with their counts, a filter of all pairs of words, and one of the
+    level below, of kept contexts and their pairs.
     """
-    shared = tokens.sparkSession.sparkContext.broadcast((hot, twice, below))
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         _, twice, below = shared.value
@@ -336,7 +449,7 @@ def _level(tokens: DataFrame, depth: int, hot: tuple[Index, np.ndarray], twice:
                     at, c, s = at[on], c[on], s[on]
                     s = np.where(_held(below, s), s, np.uint64(0))  # 0: counted for the context alone
                 c = _longer(c, text.words[at - d])
-            yield c, s, np.ones(len(c), np.int64)
+            yield c, s
 
     def deal(c: np.ndarray, s: np.ndarray) -> np.ndarray:
         if depth > 1:
@@ -345,17 +458,30 @@ def _level(tokens: DataFrame, depth: int, hot: tuple[Index, np.ndarray], twice:
         return _bucket(np.where(several, mixed(c ^ s >> np.uint64(54)), c), parts)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, s, n = _sorted_sums(*_entries(batches, {"c": U64, "s": U64, "n": I64}))
-        if not len(c):
+        c, m, z, s, n = _entries(batches, {"c": U64, "m": U32, "z": U32, "s": U64, "n": U32})
+        own = np.repeat(np.arange(len(c)), m)
+        counted = z + np.bincount(own, n, len(c)).astype(np.int64)
+        k = _turned(_pair(c[own], s))
+        order = _order(k)
+        first = _firsts(k[order])
+        if not len(first):
             return
-        first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-        total = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(c))))
+        n = np.add.reduceat(n[order].astype(np.int64), first)
+        on = n >= least
+        at = order[first[on]]
+        s, of, n = s[at], c[own[at]], n[on]
+        # the counts of their contexts
+        contexts = np.unique(_turned(of))
+        contexts = Index(contexts >> np.uint64(24) | contexts << np.uint64(40))
+        place = contexts.find(c)
+        total = np.bincount(place[place >= 0], counted[place >= 0], len(contexts.keys)).astype(np.int64)[contexts.find(of)]
         if depth == 1:
             keys, counts = shared.value[0]
-            place = keys.find(c)
+            place = keys.find(of)
             total[place >= 0] = counts[place[place >= 0]]
-        on = (total >= least) & (n >= least) & (s != 0)
-        yield _rows(_bucket(s[on], parts), [s[on], c[on], n[on], total[on]], 0)
+        on = np.flatnonzero(total >= least)
+        on = on[_order(_turned(of[on]))]  # equal contexts compress
+        yield _rows(_bucket(s[on], parts), [s[on], of[on], n[on], total[on]], 0)
 
     rows = arrow_map(tokens, lambda b: _counts(tables(b), deal), COUNTS)
     return arrow_map(rows.repartition(parts, "bucket"), sums, "bucket long, side long, s binary, c binary, n binary, total binary")
@@ -370,7 +496,7 @@ def _with_parents(level: DataFrame, parents: DataFrame, shift: float, params: Pa
         sides = _by_side(batches)
         key, parent = _entries(iter(sides[1]), {"s": U64, "c": F64})
         s, c, n, total = _entries(iter(sides[0]), {"s": U64, "c": U64, "n": I64, "total": I64})
-        order = np.argsort(key)
+        order = _order(_turned(key))
         place = Index(key[order]).find(s)
         on = place >= 0
         s, c = s[on], c[on]
@@ -386,7 +512,7 @@ def _kept(pairs: DataFrame, params: Params, parts: int) -> DataFrame:
         c, k, n, total, parent = _entries(batches, {"c": U64, "k": U64, "n": I64, "total": I64, "parent": F64})
         if not len(c):
             return
-        order = np.argsort(c, kind="stable")
+        order = _order(_turned(c))
         c, k, n, total, parent = (x[order] for x in (c, k, n, total, parent))
         new = np.append(True, c[1:] != c[:-1])
         first, own = np.flatnonzero(new), np.cumsum(new) - 1
@@ -425,11 +551,13 @@ def fit(train: DataFrame, *, text_col: str = "text", params: Params = Params())
         distinct = _size(words, "key")
         word, _, _, n = _frequent(words, max(1.0, HOT * tokens))  # at most 1 / HOT
         hot = _single(word)
-        order = np.argsort(hot)
+        order = _order(_turned(hot))
         hot = Index(hot[order]), n[order]
         tables, parents, shift, twice, below = [words], words, float(np.log10(tokens + distinct + 1)), None, None
         for d in range(1, params.depth + 1):
-            level = materialize(_level(texts, d, hot, twice, below, params.least, parts), f"op3-level{d}")
+            shared = train.sparkSession.sparkContext.broadcast((hot, twice, below))
+            level = materialize(_level(texts, d, shared, params.least, parts), f"op3-level{d}")
+            shared.destroy()
             if d == 1 < params.depth:
                 twice = _filter(level.select("s", "c"), lambda b: _pair(_bytes(b.column("c"), U64), _bytes(b.column("s"), U64)), _size(level, "s"), parts)
             kept = keep(materialize(_kept(_with_parents(level, parents, shift, params, parts), params, parts), f"op3-kept{d}"))
@@ -468,6 +596,7 @@ def _scored(docs: DataFrame, model: Model, id_col: str) -> DataFrame:
         names = F.col("id").alias(id_col), "n_tokens", F.col("known").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score"
         out.append(materialize(sums.select(*names), "op3-scored"))
         release(rows)
+    shared.destroy()
     return reduce(DataFrame.unionByName, out)
 
 
@@ -526,8 +655,14 @@ def _lookups(docs: DataFrame, shared, model: Model) -> DataFrame:
                 sums = lambda x: pa.array(np.add.reduceat(x, text.offsets[:-1]))  # noqa: B023, E731  every text has its end, so no range is empty
                 none = pa.nulls(n, pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(np.full(n, row)), part.column("id"), pa.array(np.arange(n)), pa.array(np.diff(text.offsets)), sums(known), sums(base), sums(score), none, none, none], names=names)
-                k, d, count = _sorted_sums(np.concatenate(keys), np.concatenate(docs).astype(np.uint64), np.ones(sum(map(len, keys)), np.int64))
-                t = _rows(_bucket(k, parts), [k, d.astype(np.uint32), count])
+                k, d = np.concatenate(keys), np.concatenate(docs).astype(np.uint64)
+                both = _pair(k, mixed(d))
+                bucket = _bucket(k, parts)
+                order = _side_by_side(bucket, k, both)
+                first = _firsts(both[order])
+                count = np.diff(np.append(first, len(order))).astype(np.uint32)
+                order = order[first]
+                t = _rows(bucket[order], [k[order], d[order].astype(np.uint32), count])
                 m = t.num_rows
                 none = [pa.nulls(m, x) for x in (part.column("id").type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
                 yield pa.RecordBatch.from_arrays([t.column(0), pa.array(np.full(m, row)), *none, *t.columns[1:]], names=names)
@@ -552,16 +687,17 @@ def _found(rows: DataFrame, lookup: DataFrame, model: Model) -> DataFrame:
         numbers = lambda side: _joined([np.repeat(b.column("x").to_numpy(), pc.binary_length(b.column("key")).to_numpy() // 8) for b in sides[side]], I64)
         key, value = _entries(iter(sides[1]), {"key": U64, "doc": F64})
         known = numbers(1) == WORD
-        order = np.argsort(key)
+        order = _order(_turned(key))
         key, value, known = key[order], value[order], known[order]
-        k, doc, n = _entries(iter(sides[0]), {"key": U64, "doc": U32, "count": I64})
+        k, doc, n = _entries(iter(sides[0]), {"key": U64, "doc": U32, "count": U32})
         place, step = Index(key).find(k), numbers(0)
         on = place >= 0
         doc, n, place, step = doc[on], n[on], place[on], step[on]
-        order = np.lexsort((doc, step))
-        doc, n, place, step = doc[order], n[order], place[order], step[order]
         if not len(doc):
             return
+        there = np.unique(step)
+        order = _order(np.searchsorted(there, step).astype(np.uint64) << np.uint64(32) | doc)
+        doc, n, place, step = doc[order], n[order], place[order], step[order]
         first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (step[1:] != step[:-1])))
         score, known = n * value[place], n * known[place]
         yield _rows(step[first], [doc[first], *(np.add.reduceat(x, first) for x in (known, known * value[place], score))])

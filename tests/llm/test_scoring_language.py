@@ -223,6 +223,37 @@ def test_suffix_tree_levels_are_arrays_by_bucket(spark, monkeypatch):
     assert rows["op3-level3"] <= 4 * model.parts * model.parts and rows["op3-level3"] < pst_tables._size(model.lookup, "key") / 2
 
 
+def test_suffix_tree_words_are_kept_once_for_many_steps(spark):
+    """A row of numbered texts covers many steps, so the hashes of its words are written once and not for each step."""
+    texts = [" ".join(f"w{(i * j) % 700}" for i in range(300_000)) for j in (1, 3, 11)] + [None, "w1 w2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = pst_tables._tokens(docs).collect()
+    assert len(rows) == 1 and len(rows[0]["own"]) == 8 * 701
+    own, codes, lengths = next(pst_tables._numbers(iter([pa.RecordBatch.from_pylist([r.asDict() for r in rows])])))
+    assert sorted(lengths.tolist()) == [1, 3, 300_001, 300_001, 300_001]
+    want = Counter(int(pst_tables._hashed(pa.array([w.encode()], pa.large_binary()))[0]) for w in set(" ".join(t or "" for t in texts).split()) | {""})
+    assert want.keys() == set(own.tolist()) and np.bincount(codes).tolist() == sorted(np.bincount(codes).tolist(), reverse=True)
+
+
+def test_keys_in_order_and_their_hashes():
+    r = np.random.default_rng(5)
+    for keys in (r.integers(0, 1 << 63, 5000).astype(np.uint64), r.integers(0, 40, 5000).astype(np.uint64), np.zeros(0, np.uint64), np.ones(1, np.uint64)):
+        assert (pst_tables._order(keys) == np.argsort(keys, kind="stable")).all()
+        index = pst_tables.Index(held := keys[pst_tables._order(pst_tables._turned(keys))])
+        assert (held[index.find(keys)] == keys).all() and (index.find(np.array([1 << 63], np.uint64)) == -1).all()
+        bucket = (keys % np.uint64(7)).astype(np.int64)
+        order = pst_tables._side_by_side(bucket, keys, pst_tables.mixed(keys))
+        assert sorted(order.tolist()) == list(range(len(keys))) and (np.diff(bucket[order]) >= 0).all()
+    # keys of one bucket have their highest bits in common, and are found as fast
+    near = r.integers(0, 1 << 40, 20_000).astype(np.uint64)
+    index = pst_tables.Index(near[pst_tables._order(pst_tables._turned(near))])
+    assert np.diff(index.start).max() < 20
+    words = [b"\0", b"a", b"ab", b"ba", b"b\0", b"x" * 300, b"x" * 300 + b"y", b"x" * 299 + b"yx", b"x" * 301]
+    found = pst_tables._hashed(pa.array([*words, b""], pa.large_binary()))
+    assert len(set(found.tolist())) == 10 and found[-1] == pst_tables.END and 0 not in found
+    assert (pst_tables._hashed(pa.array(words, pa.large_binary()).slice(3)) == found[3:9]).all()
+
+
 def test_suffix_tree_query_keeps_what_a_share_would_drop(spark, tmp_path):
     """Three copies of a passage count, however many other tokens there are."""
     passage = " ".join(f"p{i}" for i in range(30))
