@@ -50,7 +50,9 @@ class Params:
     nats: float = 0.005  # least divergence of a kept context
     evidence: float = 20.0  # least divergence times count, in nats
     head: float = 2e-7  # share of the tokens from which a key's value is broadcast, not joined
-    rounds: int = 2  # parts of the texts that are scored one after another, which bounds the disk
+    rounds: int = 3  # least parts of the texts that are scored one after another
+    turn: float = 0.5  # most records a token that a level shuffles at once: more are counted in turns, which bounds the disk
+    joined: float = 0.2  # most joined keys a token of a part of the texts, likewise
     part: int = 4_000_000  # tokens for each task that sums or joins
 
 
@@ -421,31 +423,28 @@ class Index:
         return out
 
 
-def _level(tokens: DataFrame, depth: int, shared: Broadcast, least: int, parts: int) -> DataFrame:
+def _level(tokens: DataFrame, depth: int, shared: Broadcast, least: int, parts: int, turn: int = 0, turns: int = 1) -> DataFrame:
     """Pairs of context and next word by the bucket of the suffix's pair: that pair s, the context c, the counts of the pair and the context.
 
     Of the first level s is the next word's key.
     ``shared``: the most frequent contexts of one word with their counts, a filter of all pairs of words, and one of the
-    level below, of kept contexts and their pairs.
+    level below, of kept contexts and their pairs.  Of ``turns`` parts of the contexts, by their last
+    word, the one numbered ``turn`` is counted.
     """
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         _, twice, below = shared.value
         for text in _texts(batches):
             at = np.flatnonzero(text.place >= depth)
-            if depth > 1:
-                # a context occurs no more often than any two words of it that follow each other
-                second = np.flatnonzero(text.place >= 1)
-                often = np.zeros(len(text.words), bool)
-                often[second] = _held(twice, _pair(_single(text.words[second - 1]), text.words[second]))
-                for d in range(1, depth):
-                    at = at[often[at - d]]
-            c = _single(text.words[at - 1])
-            s = text.words[at]
+            if turns > 1:
+                at = at[(text.words[at - 1] & np.uint64(0xFFFF)) * np.uint64(turns) >> np.uint64(16) == turn]
+            c, s = _single(text.words[at - 1]), text.words[at]
             for d in range(2, depth + 1):
                 s = _pair(c, s)
                 if d == depth:
-                    on = _held(below, c)
+                    on = np.flatnonzero(_held(below, c))
+                    # no context occurs more often than its first two words; that the others do, below tells
+                    on = on[_held(twice, _pair(_single(text.words[at[on] - d]), text.words[at[on] - d + 1]))]
                     at, c, s = at[on], c[on], s[on]
                     s = np.where(_held(below, s), s, np.uint64(0))  # 0: counted for the context alone
                 c = _longer(c, text.words[at - d])
@@ -533,6 +532,18 @@ def _kept(pairs: DataFrame, params: Params, parts: int) -> DataFrame:
     return arrow_map(pairs.repartition(parts, "bucket"), run, LOOKUP)
 
 
+def _sums(table: DataFrame, least: float = 0.0) -> tuple[int, int, int]:
+    """The number of entries, the sum of the contexts' counts, and that of entries counted fewer than ``least`` times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = _bytes(batch.column("n"), I64)
+            context = np.repeat(batch.column("kind").to_numpy() == CONTEXT, pc.binary_length(batch.column("n")).to_numpy() // 8)
+            yield pa.RecordBatch.from_pydict({"a": [len(n)], "b": [int(n[context].sum())], "c": [int(n[n < least].sum())]})
+
+    return tuple(x or 0 for x in arrow_map(table.select("kind", "n"), run, "a long, b long, c long").agg(F.sum("a"), F.sum("b"), F.sum("c")).first())
+
+
 def _size(table: DataFrame, column: str) -> int:
     return (table.agg(F.sum(F.length(column))).first()[0] or 0) // 8
 
@@ -553,18 +564,21 @@ def fit(train: DataFrame, *, text_col: str = "text", params: Params = Params())
         hot = _single(word)
         order = _order(_turned(hot))
         hot = Index(hot[order]), n[order]
-        tables, parents, shift, twice, below = [words], words, float(np.log10(tokens + distinct + 1)), None, None
+        tables, parents, shift, twice, below, records = [words], words, float(np.log10(tokens + distinct + 1)), None, None, tokens
         for d in range(1, params.depth + 1):
             shared = train.sparkSession.sparkContext.broadcast((hot, twice, below))
-            level = materialize(_level(texts, d, shared, params.least, parts), f"op3-level{d}")
+            turns = max(1, int(np.ceil(records / max(1.0, params.turn * tokens))))
+            levels = [materialize(_level(texts, d, shared, params.least, parts, i, turns), f"op3-level{d}") for i in range(turns)]
+            level = reduce(DataFrame.union, levels)
             shared.destroy()
             if d == 1 < params.depth:
                 twice = _filter(level.select("s", "c"), lambda b: _pair(_bytes(b.column("c"), U64), _bytes(b.column("s"), U64)), _size(level, "s"), parts)
             kept = keep(materialize(_kept(_with_parents(level, parents, shift, params, parts), params, parts), f"op3-kept{d}"))
-            release(level)
+            for x in levels:
+                release(x)
             tables.append(kept)
             parents, shift = kept.filter(F.col("kind") >= PAIR), 0.0
-            count = _size(kept, "key")
+            count, records, _ = _sums(kept)  # the next level has a record at most for each token that follows a kept context
             if not count:
                 break
             if d < params.depth:
@@ -585,13 +599,16 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 def _scored(docs: DataFrame, model: Model, id_col: str) -> DataFrame:
     params, lookup = model.params, model.lookup
-    key, value, word, _ = _frequent(lookup, max(1.0, params.head * model.tokens))  # at most 1 / head rows a level and kind
-    bits = _filter(lookup.select("key"), lambda b: _bytes(b.column("key"), U64), _size(lookup, "key"), model.parts)
+    least = max(1.0, params.head * model.tokens)
+    key, value, word, _ = _frequent(lookup, least)  # at most 1 / head rows a level and kind
+    count, _, rare = _sums(lookup, least)  # texts like the training ones join a key for each time that one is counted
+    rounds = max(params.rounds, int(np.ceil(rare / max(1.0, params.joined * model.tokens))))
+    bits = _filter(lookup.select("key"), lambda b: _bytes(b.column("key"), U64), count, model.parts)
     shared = docs.sparkSession.sparkContext.broadcast((Index(key), value, word, bits))
-    part = F.pmod(F.xxhash64("id", "text"), F.lit(params.rounds))
+    part = F.pmod(F.xxhash64("id", "text"), F.lit(rounds))
     out = []
-    for i in range(params.rounds):
-        rows = materialize(_lookups(docs.filter(part == i) if params.rounds > 1 else docs, shared, model), "op3-rows")
+    for i in range(rounds):
+        rows = materialize(_lookups(docs.filter(part == i) if rounds > 1 else docs, shared, model), "op3-rows")
         sums = _summed(rows, _found(rows, lookup, model), model)
         names = F.col("id").alias(id_col), "n_tokens", F.col("known").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score"
         out.append(materialize(sums.select(*names), "op3-scored"))

@@ -235,6 +235,26 @@ def test_suffix_tree_words_are_kept_once_for_many_steps(spark):
     assert want.keys() == set(own.tolist()) and np.bincount(codes).tolist() == sorted(np.bincount(codes).tolist(), reverse=True)
 
 
+def test_suffix_tree_levels_and_scores_take_turns(spark, monkeypatch):
+    """What a level shuffles and what a part of the texts joins have a bound for each token; the scores are the same."""
+    r = random.Random(24)
+    texts = [chained(r, r.randint(5, 40)) for _ in range(120)] + ["", None, "unseen"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    params = pst_tables.Params(depth=3, nats=0.01, evidence=3.0, head=0.01, part=500, rounds=1, turn=0.3, joined=0.5)
+    labels, write = Counter(), pst_tables.materialize
+
+    def counted(df, label):
+        labels[label] += 1
+        return write(df, label)
+
+    monkeypatch.setattr(pst_tables, "materialize", counted)
+    model = pst_tables.fit(docs.filter("doc_id % 5 <> 0"), params=params)
+    got = pst_tables.score(docs, model).collect()
+    want, _ = brute_scores([t for i, t in enumerate(texts) if i % 5], texts, params)
+    assert labels["op3-level1"] == 4 and labels["op3-level2"] > 1 and labels["op3-rows"] > 1 and len(got) == len(texts)
+    assert all(math.isclose(g["score"], want[g["doc_id"]][1], rel_tol=1e-9) and math.isclose(g["base_score"], want[g["doc_id"]][0], rel_tol=1e-9) for g in got)
+
+
 def test_keys_in_order_and_their_hashes():
     r = np.random.default_rng(5)
     for keys in (r.integers(0, 1 << 63, 5000).astype(np.uint64), r.integers(0, 40, 5000).astype(np.uint64), np.zeros(0, np.uint64), np.ones(1, np.uint64)):
