@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.types import element, wrapped, wrapped_product
-from tessera.operators import dag, generate, history, linalg, policy, ranges
+from tessera.operators import coherence, dag, generate, history, linalg, policy, ranges
 from tessera.plans import array_queries
 
 ACCESS = "task_id long, seq long, mem_id long, mode string"
@@ -199,3 +199,32 @@ def test_blocked_product_deals_tall_matrices(spark):
     assert plan.agg(F.sum("v")).first()[0] == n * (n - 1)
     joins = [line for line in plan._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line and "tk#" in line]
     assert len(joins) == 1 and "la#" in joins[0] and "lb#" in joins[0]  # not by the inner index alone
+
+
+RANGE = "id long, mem_id long, off long, size long"
+
+
+def test_range_overlaps_by_brute_force(spark, monkeypatch):
+    """Packs and lots of a few ranges; equal starts, offsets below zero, nulls, twins, empty ranges."""
+    monkeypatch.setattr(coherence, "PACK", 3)
+    monkeypatch.setattr(coherence, "LOT", 7)
+    rng = random.Random(9)
+    some = lambda n: [(i, rng.randrange(3), rng.choice([0, 5, rng.randrange(-40, 60)]), rng.choice([-1, 0, 1, 9, rng.randrange(40)])) for i in range(n)]
+    a, b = some(150) + [(900, None, 1, 5), (901, 1, None, 5), (902, 1, 1, None), (903, 1, 3, 8), (903, 1, 3, 8), (None, 1, 3, 8)], some(130)
+    want = [
+        (m, i, j, max(o, p), min(o + s, p + t) - max(o, p))
+        for i, m, o, s in a
+        for j, n, p, t in b
+        if None not in (m, o, s) and m == n and s > 0 and t > 0 and o < p + t and p < o + s
+    ]
+    got = coherence.range_overlaps(spark.createDataFrame(a, RANGE), spark.createDataFrame(b, RANGE), 16)
+    assert got.columns == ["mem_id", "id_a", "id_b", "off", "size"]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and len(want) > 500
+
+
+def test_range_overlaps_take_little_disk(spark, tmp_path):
+    """The pairs of dense ranges, written, take under a byte each."""
+    dense = spark.range(12_000).select("id", F.lit(1).cast("long").alias("mem_id"), (F.col("id") * 7919 % 100).alias("off"), (1 + F.col("id") * 104_729 % 97).alias("size"))
+    coherence.range_overlaps(dense.filter("id % 2 = 0"), dense.filter("id % 2 = 1"), 64).write.parquet(str(tmp_path / "out"))
+    n = spark.read.parquet(str(tmp_path / "out")).count()
+    assert n > 10_000_000 and sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < n
